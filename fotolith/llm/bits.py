@@ -20,10 +20,14 @@ def bitmap(keys: DataFrame, *names: str, bits: int = FILTER_BITS) -> DataFrame:
     return slot.groupBy(F.expr(f"slot div {PAGE}").alias("_page")).agg(F.bitmap_construct_agg(F.col("slot") % PAGE).alias("_bits"))
 
 
-def passing(rows: DataFrame, *names: str, within: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The rows whose key's bit is set in the bitmap; columns as before."""
-    slot = _slot(list(names), bits)
-    held = rows.withColumn("_slot", slot).join(F.broadcast(within), F.expr(f"_slot div {PAGE}") == F.col("_page"))
+def marked(rows: DataFrame, *names: str, within: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows with a column `_in`: whether the key's bit is set in the bitmap."""
+    held = rows.withColumn("_slot", _slot(list(names), bits)).join(F.broadcast(within), F.expr(f"_slot div {PAGE}") == F.col("_page"), "left")
     at = f"cast(_slot % {PAGE} as int)"
     byte = f"cast(conv(hex(substring(_bits, {at} div 8 + 1, 1)), 16, 10) as int)"
-    return held.filter(f"shiftright({byte}, {at} % 8) & 1 = 1").select(*rows.columns)
+    return held.select(*rows.columns, F.expr(f"coalesce(shiftright({byte}, {at} % 8) & 1 = 1, false)").alias("_in"))
+
+
+def passing(rows: DataFrame, *names: str, within: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose key's bit is set in the bitmap; columns as before."""
+    return marked(rows, *names, within=within, bits=bits).filter("_in").drop("_in")

@@ -23,5 +23,11 @@ n AS (SELECT doc_id, x, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) O
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x) AS text_sha256 FROM n
 """
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"), size=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES = {"op10_substring_dedup": op10_substring_dedup, "op7_exact_dedup": op7_exact_dedup}
 ORACLE = {"op7_exact_dedup": OP7}
