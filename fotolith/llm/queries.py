@@ -29,5 +29,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), size=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {"op10_substring_dedup": op10_substring_dedup, "op7_exact_dedup": op7_exact_dedup}
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_classes
+
+    return ngram_classes(table(spark, sf_dir, "documents"), n=3, share=90).withColumnRenamed("n_grams", "n_shingles")
+
+
+QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op10_substring_dedup": op10_substring_dedup, "op7_exact_dedup": op7_exact_dedup}
 ORACLE = {"op7_exact_dedup": OP7}

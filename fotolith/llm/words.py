@@ -63,20 +63,16 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of a batch of texts. start, end: bytes of each word; first: n + 1 bounds of the texts' words; hash: by word."""
+    """The words of a batch of texts: longest runs of bytes of one kind in the table inside, where kind 0 (False) separates. start, end: bytes of each word; first: n + 1 bounds of the texts' words; hash: by word."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, lower: bool, twice: bool = False):
         self.data, self.offsets = data, offsets
-        word = inside[data]
-        before = np.empty(len(data), bool)
-        before[1:] = word[:-1]
-        after = np.empty(len(data), bool)
-        after[:-1] = word[1:]
-        full = offsets[:-1] < offsets[1:]
-        before[offsets[:-1][full]] = False
-        after[offsets[1:][full] - 1] = False
-        self.start = np.flatnonzero(word & ~before)
-        self.end = np.flatnonzero(word & ~after) + 1
+        kind = inside[data].view(np.uint8)
+        change = np.empty(len(data) + 1, bool)
+        change[1:-1] = kind[1:] != kind[:-1]
+        change[offsets] = True
+        self.start = np.flatnonzero(change[:-1] & (kind > 0))
+        self.end = np.flatnonzero(change[1:] & (kind > 0)) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.first[-1] = len(self.start)
         self._hash(LOWER[data] if lower else data, twice)
