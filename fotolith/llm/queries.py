@@ -35,5 +35,13 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_classes(table(spark, sf_dir, "documents"), n=3, share=90).withColumnRenamed("n_grams", "n_shingles")
 
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op10_substring_dedup": op10_substring_dedup, "op7_exact_dedup": op7_exact_dedup}
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import benchmark_matches
+
+    found = benchmark_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
+    items = F.array_sort(F.array_distinct("matches.item"))
+    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES = {"op6_benchmark_decontamination": op6_benchmark_decontamination, "op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op10_substring_dedup": op10_substring_dedup, "op7_exact_dedup": op7_exact_dedup}
 ORACLE = {"op7_exact_dedup": OP7}
