@@ -43,5 +43,15 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {"op6_benchmark_decontamination": op6_benchmark_decontamination, "op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op10_substring_dedup": op10_substring_dedup, "op7_exact_dedup": op7_exact_dedup}
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import scored, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", F.col("quality").alias("label"))
+    out = scored(docs, train(docs, labels))
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {"op8_quality_classifier": op8_quality_classifier, "op6_benchmark_decontamination": op6_benchmark_decontamination, "op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op10_substring_dedup": op10_substring_dedup, "op7_exact_dedup": op7_exact_dedup}
 ORACLE = {"op7_exact_dedup": OP7}
