@@ -32,7 +32,31 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_classes
 
-    return ngram_classes(table(spark, sf_dir, "documents"), n=3, share=90).withColumnRenamed("n_grams", "n_shingles")
+    found = ngram_classes(table(spark, sf_dir, "documents"), n=3, share=90)
+    return found.select("doc_id", F.col("n_grams").alias("n_shingles"), "component_id")
+
+
+#: The production weights of op2.
+MIX_TARGETS = {"src0": 0.15, "src1": 0.1, "src2": 0.1, "src3": 0.08}
+
+
+def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents"), MIX_TARGETS, size=1.0, seed=17)
+
+
+OP2 = """
+WITH target(source, w) AS (VALUES ('src0', 0.15::DOUBLE), ('src1', 0.1), ('src2', 0.1), ('src3', 0.08)),
+d AS (SELECT *, coalesce(t.source, '') AS grp, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS id FROM documents LEFT JOIN target t USING (source)),
+n AS (SELECT grp, count(*)::DOUBLE AS rows FROM d GROUP BY grp),
+w AS (SELECT grp, rows, coalesce(w, greatest(0, 1 - (SELECT sum(w) FROM target))) AS w FROM n LEFT JOIN target ON grp = source),
+r AS (SELECT grp, (SELECT sum(rows) FROM n) * w / (SELECT sum(w) FROM w) / rows AS rate FROM w),
+p AS (SELECT grp, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY grp ORDER BY k) AS c FROM r, range(0, 60) t(k)),
+u AS (SELECT d.*, ('0x' || substr(md5('17:' || id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM d),
+m AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, u.id, unnest(range(1, 1 + (SELECT count(*) FROM p WHERE p.grp = u.grp AND p.c <= u.u AND p.c < 1 - 1e-15))) AS copy_no FROM u)
+SELECT doc_id, text, lang, source, n_chars, copy_no, md5('18:' || id || ':' || copy_no) AS mix_key FROM m
+"""
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,5 +111,5 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(formatted_chats(turns.unionByName(more)))
 
 
-QUERIES = {"op3_html_extraction": op3_html_extraction, "op4_url_filters": op4_url_filters, "op5_chat_formatting": op5_chat_formatting, "op9_token_counts": op9_token_counts, "op8_quality_classifier": op8_quality_classifier, "op6_benchmark_decontamination": op6_benchmark_decontamination, "op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op10_substring_dedup": op10_substring_dedup, "op7_exact_dedup": op7_exact_dedup}
-ORACLE = {"op7_exact_dedup": OP7}
+QUERIES = {"op2_mixing_sources": op2_mixing_sources, "op3_html_extraction": op3_html_extraction, "op4_url_filters": op4_url_filters, "op5_chat_formatting": op5_chat_formatting, "op9_token_counts": op9_token_counts, "op8_quality_classifier": op8_quality_classifier, "op6_benchmark_decontamination": op6_benchmark_decontamination, "op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op10_substring_dedup": op10_substring_dedup, "op7_exact_dedup": op7_exact_dedup}
+ORACLE = {"op2_mixing_sources": OP2, "op7_exact_dedup": OP7}
