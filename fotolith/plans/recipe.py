@@ -36,6 +36,11 @@ SCHEMA = T.StructType(
 )
 
 
+def _bound(value: Column, f) -> Column:
+    """f of a value that is worked out once: expressions would repeat it at every use."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _empty(c: Column) -> Column:
     return c.isNull() | c.isin("[]", "{}", "null")
 
@@ -61,34 +66,46 @@ def _sane(c: Column, low: float, high: float, default: float) -> Column:
 
 def sanitised(r: Column) -> Column:
     """Every slider in its range, defaults where a value is missing or no number, and empty settings left out."""
+    return _bound(r, _sanitised)
+
+
+def _sanitised(r: Column) -> Column:
     fields = {k: _sane(r[k], *v) for k, v in SLIDERS.items()}
     fields |= {k: F.coalesce(r[k], F.lit(v)) for k, v in FLAGS.items()}
     fields |= {k: F.when(~_empty(r[k]), r[k]) for k in (*NESTED, *LISTS)}
     return _put(r, look=F.coalesce(r["look"], F.lit("standard")), version=F.coalesce(r["version"], F.lit(VERSION)), **fields)
 
 
-def parsed(json: Column) -> Column:
-    """A stored recipe in the present version; null if it can't be read or is newer. Each step needs the one before, so they are bound in turn."""
-    raw = F.from_json(json, SCHEMA, {"mode": "PERMISSIVE"})
-    read = F.coalesce(raw["version"], F.lit(VERSION))
-    early = read <= 6
-    step = _put(
+def _migrated(raw: Column, read: Column) -> Column:
+    return _put(
         raw,
         version=F.lit(VERSION),
         look=F.when(read <= 1, "flat").otherwise(raw["look"]),
-        sharpening=F.when(early, F.lit(0.0)).otherwise(raw["sharpening"]),
+        sharpening=F.when(read <= 6, F.lit(0.0)).otherwise(raw["sharpening"]),
         whitesFromSensor=F.when((read >= 2) & (read <= 25), F.coalesce(raw["whites"], F.lit(0.0)) != 0).otherwise(raw["whitesFromSensor"]),
     )
-    now = sanitised(step)
-    edits = ~is_identity(now)
-    profile = now["profileCorrections"] & ~((read < 29) & edits)
-    marked = _put(
-        now,
-        profileCorrections=profile,
-        unoriented=now["unoriented"] | ((read < 30) & edits),
-        profileWithoutChromaticAberration=now["profileWithoutChromaticAberration"] | ((read < 32) & profile & edits),
-    )
-    return F.when(json.isNotNull() & json.rlike(r"^\s*\{") & (read <= VERSION), marked)
+
+
+def _marked(now: Column, read: Column) -> Column:
+    """What older edits keep: no lens profile, files as stored, profiles without chromatic aberration."""
+
+    def put(x: Column) -> Column:
+        r, edits = x["r"], ~x["plain"]
+        profile = r["profileCorrections"] & ~((read < 29) & edits)
+        fringes = r["profileWithoutChromaticAberration"] | ((read < 32) & profile & edits)
+        return _put(r, profileCorrections=profile, unoriented=r["unoriented"] | ((read < 30) & edits), profileWithoutChromaticAberration=fringes)
+
+    return _bound(_bound(now, lambda r: F.struct(r.alias("r"), is_identity(r).alias("plain"))), put)
+
+
+def parsed(json: Column) -> Column:
+    """A stored recipe in the present version; null if it can't be read or is newer."""
+
+    def steps(raw: Column) -> Column:
+        read = F.coalesce(raw["version"], F.lit(VERSION))
+        return F.when(read <= VERSION, _marked(sanitised(_migrated(raw, read)), read))
+
+    return F.when(json.rlike(r"^\s*\{"), _bound(F.from_json(json, SCHEMA, {"mode": "PERMISSIVE"}), steps))
 
 
 def state(json: Column) -> Column:
@@ -100,7 +117,7 @@ def state(json: Column) -> Column:
 def pasted(target: Column, source: Column, groups: list[str]) -> Column:
     """target with the settings of the groups named from source; what source lacks goes. Unknown groups are ignored."""
     taken = {f for g in groups for f in GROUPS.get(g, ())}
-    return sanitised(_put(target, **{f: source[f] for f in taken}))
+    return _bound(F.struct(target.alias("t"), source.alias("s")), lambda x: _sanitised(_put(x["t"], **{f: x["s"][f] for f in taken})))
 
 
 def with_look_of(target: Column, preset: Column) -> Column:
@@ -110,7 +127,7 @@ def with_look_of(target: Column, preset: Column) -> Column:
 
 def look_only(r: Column) -> Column:
     """A recipe as a preset keeps it: without what is drawn for one photo."""
-    return sanitised(_put(r, **{f: F.lit(None).cast(SCHEMA[f].dataType) for g in ("geometry", "masks", "retouch") for f in GROUPS[g]}))
+    return _bound(r, lambda x: _sanitised(_put(x, **{f: F.lit(None).cast(SCHEMA[f].dataType) for g in ("geometry", "masks", "retouch") for f in GROUPS[g]})))
 
 
 def to_json(r: Column) -> Column:

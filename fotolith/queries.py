@@ -349,13 +349,13 @@ def fnv_fingerprint(s, d):
 
 def _recipes(lib: Library) -> DataFrame:
     """Saved recipes of several versions, made of events."""
-    made = """to_json(named_struct('version', cast(event_id % 35 AS int), 'exposure', round(value / 20, 3), 'contrast', cast(event_id % 7 * 20 AS double), 'whites', IF(event_id % 4 = 0, 10.0D, 0.0D),
+    made = """to_json(named_struct('version', cast(event_id % 35 AS int), 'exposure', value / 32, 'contrast', cast(event_id % 7 * 20 AS double), 'whites', IF(event_id % 4 = 0, 10.0D, 0.0D),
         'sharpening', IF(event_id % 5 = 0, NULL, 40.0D), 'grain', -5.0D, 'calibration', IF(event_id % 6 = 0, named_struct('redHue', 10.0D), NULL)))"""
     return lib._read("events").selectExpr("event_id AS id", f"{made} AS recipe")
 
 
-_READ = """r AS (SELECT event_id AS id, event_id % 35 AS v, greatest(-5, least(5, round(value / 20, 3))) AS exposure, least(100, event_id % 7 * 20)::DOUBLE AS contrast, CASE WHEN event_id % 4 = 0 THEN 10.0 ELSE 0.0 END AS whites,
-CASE WHEN event_id % 35 <= 6 THEN 0.0 ELSE 40.0 END AS sharpening, CASE WHEN event_id % 35 <= 1 THEN 'flat' ELSE 'standard' END AS look, event_id % 6 = 0 AS calibrated FROM events),
+_READ = """r AS (SELECT event_id AS id, event_id % 35 AS v, greatest(-5, least(5, value / 32))::DOUBLE AS exposure, least(100, event_id % 7 * 20)::DOUBLE AS contrast, CASE WHEN event_id % 4 = 0 THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END AS whites,
+CASE WHEN event_id % 35 <= 6 THEN 0.0::DOUBLE ELSE 40.0::DOUBLE END AS sharpening, CASE WHEN event_id % 35 <= 1 THEN 'flat' ELSE 'standard' END AS look, event_id % 6 = 0 AS calibrated FROM events),
 i AS (SELECT *, exposure = 0 AND contrast = 0 AND whites = 0 AND sharpening = 40 AND look = 'standard' AND NOT calibrated AS plain FROM r)"""
 
 
@@ -486,7 +486,7 @@ def px_histogram(s, d):
     return P.histogram(_eight(s, d))
 
 
-@query("px_percentiles", O.with_tables(O.PIXELS, _EIGHT, _LONG, body="""SELECT image_id, channel, round(arg_min((bin + greatest(0, least(1, (total * 0.9 - seen) / n))) / 256, bin), 6) AS value FROM (SELECT *, sum(n) OVER (PARTITION BY image_id, channel ORDER BY bin)::DOUBLE - n AS seen, sum(n) OVER (PARTITION BY image_id, channel)::DOUBLE AS total FROM h) WHERE seen + n >= total * 0.9 GROUP BY ALL"""))
+@query("px_percentiles", O.with_tables(O.PIXELS, _EIGHT, _LONG, body="""SELECT image_id, channel, round(arg_min((bin + greatest(0, least(1, (total * 0.9::DOUBLE - seen) / n))) / 256, bin), 6) AS value FROM (SELECT *, sum(n) OVER (PARTITION BY image_id, channel ORDER BY bin)::DOUBLE - n AS seen, sum(n) OVER (PARTITION BY image_id, channel)::DOUBLE AS total FROM h) WHERE seen + n >= total * 0.9 GROUP BY ALL"""))
 def px_percentiles(s, d):
     return P.percentile(P.histogram(_eight(s, d)), 0.9).withColumn("value", F.round("value", 6))
 

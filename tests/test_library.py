@@ -1,5 +1,7 @@
 """Small libraries with known answers, and every query against its SQL on the smallest tables."""
 
+from decimal import Decimal
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -161,7 +163,7 @@ def duck():
 
 
 def plain(v):
-    return round(float(v), 6) if isinstance(v, float) else v
+    return round(float(v), 6) if isinstance(v, float | Decimal) else v
 
 
 @pytest.mark.parametrize("name", sorted(n for n in Q.ORACLE if not n.startswith(("px_", "mask_"))))
@@ -172,3 +174,17 @@ def test_query_equals_sql(spark, duck, name):
     rows = [tuple(r) for r in got.select(*columns).collect()]
     key = lambda r: tuple(map(repr, map(plain, r)))
     assert sorted(map(key, rows)) == sorted(key(r) for r in want)
+
+
+def test_sources(spark, tmp_path):
+    from fotolith.sources import files, sidecars
+
+    for name in ("a/DSC_10.NEF", "a/dsc_2.nef", "a/note.txt", ".hidden/x.nef", "a/.y.nef"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"raw " + name.encode())
+    got = files.walk(spark, str(tmp_path), ["nef"], content=True)
+    assert [r.path.rpartition("/")[2] for r in files.listing(got, f"{tmp_path}/a").collect()] == ["dsc_2.nef", "DSC_10.NEF"]
+    df = spark.createDataFrame([(4, 0, 1, ["a & b", "c"]), (0, -1, 0, []), (0, 0, 0, [])], "rating int, flag int, label int, names array<string>")
+    packets = df.select(sidecars.packet(F.col("rating"), F.col("flag"), F.col("label"), F.col("names")).alias("t"))
+    back = packets.select(sidecars.marks(F.col("t")).alias("m"), sidecars.keywords(F.col("t")).alias("k"), "t").collect()
+    assert tuple(back[0].m) == (4, 0, 1) and back[0].k == ["a & b", "c"] and tuple(back[1].m) == (0, -1, 0) and back[2].t is None
