@@ -106,7 +106,7 @@ def _longest(block: Block, which: np.ndarray, word: np.ndarray) -> tuple[np.ndar
     new = np.ones(len(word), bool)
     new[1:] = (item[1:] != item[:-1]) | (word[1:] - place[1:] != word[:-1] - place[:-1]) | (word[1:] != word[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(word)) - 1
+    last = np.append(first, len(word))[1:] - 1
     return item[first], place[first], word[first], word[last] - word[first] + size[last]
 
 
