@@ -22,19 +22,17 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
         # Each root hooks onto its least neighbour if that is less; the hooks form trees, which two jumps a round flatten.
-        hooks = scratch.table(best.filter("least < node").select(F.col("node").alias("from"), F.col("least").alias("to")))
-        if hooks.isEmpty():
+        hooks = told = scratch.table(best.filter("least < node").select(F.col("node").alias("from"), F.col("least").alias("to")))
+        if told.isEmpty():
             return labels
         for _ in range(2):
-            up = hooks.select(F.col("from").alias("to"), F.col("to").alias("up"))
-            jumped = scratch.table(hooks.join(up, "to", "left").select("from", F.coalesce("up", "to").alias("to")))
-            scratch.drop(hooks)
-            hooks = jumped
+            up = told.select(F.col("from").alias("to"), F.col("to").alias("up"))
+            hooks = hooks.join(up, "to", "left").select("from", F.coalesce("up", "to").alias("to"))
         step = hooks.select(F.col("from").alias("root"), F.col("to").alias("up"))
         moved = scratch.table(labels.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
         a = hooks.select(F.col("from").alias("a"), F.col("to").alias("a2"))
         b = hooks.select(F.col("from").alias("b"), F.col("to").alias("b2"))
         kept = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"))
         kept = scratch.table(kept.filter("a != b").distinct())
-        scratch.drop(labels, links, hooks)
+        scratch.drop(labels, links, told)
         labels, links = moved, kept

@@ -3,8 +3,10 @@
 Rows of the incidence are sets of equal documents (classes), columns are n-gram hashes under one order, in which n-grams that a sample
 shows often come last. Two sets that reach the similarity share a column among each one's first few (size - least overlap + 1), so the product needs
 those columns alone. Blocks are columns with the chosen partner rows (pivots) of each: first the most promising pivot of each row, then
-a growing share of a column's rows as pivots, until every pair of a column that is not yet connected has been counted or ruled out by bounds
-on size and place. What is left is counted on the whole sets. No group is ever expanded into all its pairs unless none of them link.
+a growing share of a column's rows as pivots, until every pair of a column that is not yet connected has been counted or ruled out by
+bounds. The bounds are on the sizes, and on what must differ: each set has a sketch that holds the parity of its n-grams in each of
+SKETCH cells, and two sets differ in as many n-grams at least as their sketches differ in cells. The overlap of pairs within the bounds is
+counted on the whole sets. No group is ever expanded into all its pairs unless none of them link.
 """
 
 from __future__ import annotations
@@ -19,12 +21,15 @@ from .components import components
 from .scratch import Scratch, bounded_batches
 from .words import SPACED, U, Words, lists, mix, pieces, signed, text_buffer
 
-#: A table of so many buckets of n-grams tells which come late in the order: 2 MB of bits whatever the input.
-BUCKETS = 1 << 24
+#: A table of so many buckets of n-grams tells which come late in the order: 16 MB of bits whatever the input.
+BUCKET_BITS = 27
+BUCKETS = 1 << BUCKET_BITS
 #: The order is fitted on each SAMPLE-th document by hash; n-grams found OFTEN times there come last. It changes speed, never results.
-SAMPLE, OFTEN = 8, 8
+SAMPLE, OFTEN = 4, 2
+#: Cells of a sketch.
+SKETCH = 1024
 #: The share of pivots grows by this factor from round to round.
-WIDEN = 16
+WIDEN = 8
 
 
 def _grams(w: Words, n: int) -> list[np.ndarray]:
@@ -48,7 +53,7 @@ def _ordered(s: np.ndarray, late: np.ndarray | None) -> np.ndarray:
     """The column numbers of a set, in the order of columns: 63 bits of the hash, late ones after all others."""
     key = s >> U(2)
     if late is not None:
-        bucket = s >> U(40)
+        bucket = s >> U(64 - BUCKET_BITS)
         key |= ((late[bucket >> U(3)] >> (bucket & U(7)).astype(np.uint8)) & 1).astype(U) << U(62)
     return np.sort(key)
 
@@ -58,12 +63,18 @@ def _name(s: np.ndarray) -> bytes:
     return np.array([np.add.reduce(mix(s)), np.bitwise_xor.reduce(mix(~s)) + U(len(s))], U).tobytes()
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """The parity of the set's n-grams in each cell, as SKETCH / 64 numbers."""
+    odd = (np.bincount((s & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def _texts(batches, each):
     """Runs each(words, slice of ids) over whole texts."""
     for batch in batches:
         data, offsets = text_buffer(batch.column(1))
         for a, b, x, y in pieces(data, offsets):
-            yield each(Words(x, y, SPACED, True), batch.column(0).slice(a, b - a))
+            yield each(Words(x, y, SPACED, True), [batch.column(i).slice(a, b - a) for i in (0, 2)])
 
 
 def _buckets(n: int):
@@ -72,24 +83,27 @@ def _buckets(n: int):
             data, offsets = text_buffer(batch.column(0))
             for _, _, x, y in pieces(data, offsets):
                 sets = _grams(Words(x, y, SPACED, True), n)
-                yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(sets) >> U(40)).astype(np.int32))], ["bucket"])
+                yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(sets) >> U(64 - BUCKET_BITS)).astype(np.int32))], ["bucket"])
 
     return run
 
 
-def _often(docs: DataFrame, n: int) -> np.ndarray | None:
+def _often(docs: DataFrame, n: int, scratch: Scratch) -> np.ndarray | None:
     """One bit for each bucket of n-grams that the sample holds OFTEN times."""
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
-    counts = sample.mapInArrow(_buckets(n), "bucket int").groupBy("bucket").count().filter(F.col("count") >= OFTEN)
+    counts = sample.mapInArrow(_buckets(n), "bucket int").groupBy("bucket").count()
+    counts = scratch.table(counts)
+    many = OFTEN + 2 * (counts.agg(F.sum("count")).first()[0] or 0) // BUCKETS  # more than chance puts into a bucket
+    counts = counts.filter(F.col("count") >= many)
     pages = counts.groupBy(F.expr("bucket div 32768").alias("page")).agg(F.bitmap_construct_agg(F.col("bucket").cast("long") % 32768).alias("bits"))
     out = np.zeros(BUCKETS // 8, np.uint8)
-    for r in pages.collect():  # 512 pages of 4 KB at most
+    for r in pages.collect():  # 4096 pages of 4 KB at most
         out[r.page * 4096 : (r.page + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
     return out if out.any() else None
 
 
 def _prefixes(n: int, share: int, late):
-    """doc_id, text to doc_id, n, cls (16 bytes that tell the set) and the columns that come first in the order."""
+    """doc_id, text, text_hash to doc_id, text_hash, n, cls (16 bytes that tell the set), the columns that come first in the order, and the sketch."""
 
     def run(batches):
         late_bits = late.value
@@ -103,7 +117,8 @@ def _prefixes(n: int, share: int, late):
                 held.append(_ordered(s, late_bits)[: m - -(-share * m // 100) + 1])
             bound = np.concatenate([[0], np.cumsum([len(x) for x in held])])
             names = pa.array(map(_name, sets), pa.binary())
-            return pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), names, lists(signed(np.concatenate(held)), bound, pa.int64())], ["doc_id", "n", "cls", "first"])
+            cells = lists(np.concatenate([_sketch(s) for s in sets]), np.arange(len(sets) + 1) * (SKETCH // 64), pa.int64())
+            return pa.RecordBatch.from_arrays([*ids, pa.array(size, pa.int64()), names, lists(signed(np.concatenate(held)), bound, pa.int64()), cells], ["doc_id", "text_hash", "n", "cls", "first", "sketch"])
 
         yield from _texts(batches, each)
 
@@ -124,74 +139,97 @@ def _sets(n: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets reach the similarity."""
-    left = sets.select(F.col("cls").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("cls").alias("b"), F.col("set").alias("set_b"))
-    both = pairs.join(left, "a").join(right, "b")
+def _within(pairs: DataFrame, told: DataFrame, share: int) -> DataFrame:
+    """The pairs (a, b) of rows that the bounds on sizes and sketches leave."""
+    a = told.select(F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    b = told.select(F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    both = pairs.join(a, "a").join(b, "b").filter(_near("n_a", "n_b", share))
+    apart = "aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    return both.filter(f"{100 + share} * {apart} <= {100 - share} * (n_a + n_b)").select("a", "b")
+
+
+def _near(a: str, b: str, share: int) -> str:
+    return f"100 * least({a}, {b}) >= {share} * greatest({a}, {b})"
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, told: DataFrame, n: int, share: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of rows whose whole sets, read from the texts again, reach the similarity."""
+    names = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    inside = scratch.table(told.select("row", "cls", "doc_id").join(names, "row", "left_semi"))
+    again = passing(docs, "doc_id", within=bitmap(inside, "doc_id")).mapInArrow(_sets(n), "cls binary, set array<long>")
+    sets = scratch.table(again.join(inside.select("cls", "row").hint("shuffle_hash"), "cls").select("row", "set"))
+    a = sets.select(F.col("row").alias("a"), F.col("set").alias("set_a"))
+    b = sets.select(F.col("row").alias("b"), F.col("set").alias("set_b"))
+    both = pairs.join(a, "a").join(b, "b")
     shared = F.size(F.array_intersect("set_a", "set_b")).cast("long")
     total = F.size("set_a").cast("long") + F.size("set_b").cast("long")
-    return both.filter(shared * (100 + share) >= total * share).select("a", "b")
+    return scratch.table(both.filter(shared * (100 + share) >= total * share).select("a", "b"))
 
 
 def ngram_classes(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
-    """One row for each row of docs (doc_id, text; other columns are ignored): doc_id, n_grams, component_id.
+    """One row for each row of docs (doc_id, text; other columns are ignored): doc_id, text_hash, n_grams, component_id, component.
 
     Texts are lower-cased for A-Z and cut into words at ASCII white space; a text's set holds its distinct n-word shingles, or with fewer
-    words the whole sequence. Two documents link if 100 * overlap >= share * union; component_id is the least doc_id that links reach.
+    words the whole sequence. Two documents link if 100 * overlap >= share * union; component_id is the least doc_id that links reach,
+    component a number of its own for each component, and text_hash Spark's xxhash64 of the text.
     Texts that are null or have no word have no set and link with nothing. Rows that tie in doc_id are documents of their own; a null
     doc_id links as any other and is a component_id only where all of its component are null. No rows give no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "ngrams")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    late = spark.sparkContext.broadcast(_often(docs, n))
-    rows = docs.mapInArrow(_prefixes(n, share, late), "doc_id long, n long, cls binary, first array<long>")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    late = spark.sparkContext.broadcast(_often(docs, n, scratch))
+    rows = docs.mapInArrow(_prefixes(n, share, late), "doc_id long, text_hash long, n long, cls binary, first array<long>, sketch array<long>")
     rows = scratch.table(rows.withColumn("row", F.monotonically_increasing_id()))
     full = rows.filter("n > 0")
     classes = scratch.table(full.groupBy("cls").agg(F.min("doc_id").alias("lead"), F.min("row").alias("row")))
-    roots = _roots(spark, scratch, docs, full, classes, n, share)
-    least = roots.join(classes.select(F.col("cls").alias("node"), "lead"), "node").groupBy("root").agg(F.min("lead").alias("least"))
-    told = scratch.table(roots.join(least, "root").select(F.col("node").alias("cls"), "least"))
-    wider = classes.join(told, "cls", "left").select("cls", F.coalesce("least", "lead").alias("component_id"))
-    linked = full.select("doc_id", "n", "cls").join(wider, "cls").select("doc_id", F.col("n").alias("n_grams"), "component_id")
-    return linked.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_grams"), F.col("doc_id").alias("component_id")))
-
-
-def _roots(spark: SparkSession, scratch: Scratch, docs: DataFrame, full: DataFrame, classes: DataFrame, n: int, share: int) -> DataFrame:
-    """(node, root) of the classes that link with another."""
-    # The rows of the product, one for each class, and its entries in columns that two classes share.
-    lead = full.join(classes.select("row"), "row", "left_semi")
-    entries = lead.select("cls", F.col("n").cast("int").alias("n"), F.posexplode("first").alias("at", "col"))
-    pivot = F.struct("cls", "n", "at")
-    columns = entries.groupBy("col").agg(F.count("*").alias("m"), F.min(pivot).alias("p")).filter("m > 1")
-    shared = scratch.table(entries.join(columns, "col").select("col", "cls", "n", "at", "m", F.col("p.cls").alias("b"), F.col("p.n").alias("n_b"), F.col("p.at").alias("at_b")))
-    # Whole sets of the classes in those columns, read from the texts again.
-    names = shared.select("cls").distinct()
-    inside = scratch.table(lead.select("cls", "doc_id").join(names, "cls", "left_semi"))
-    again = passing(docs, "doc_id", within=bitmap(inside, "doc_id")).mapInArrow(_sets(n), "cls binary, set array<long>")
-    sets = scratch.table(again.join(inside.hint("shuffle_hash"), "cls", "left_semi"))
-    total = "(n + n_b)"
-    fits = f"100 * least(n, n_b) >= {share} * greatest(n, n_b) AND {100 + share} * (least(at, at_b) + least(n - at, n_b - at_b)) >= {share} * {total}"
+    told = full.join(classes.select("row"), "row", "left_semi")
+    roots = _roots(spark, scratch, docs, told, n, share)
+    named = classes.select(F.col("row").alias("node"), "cls", "lead").join(roots, "node")
+    least = named.groupBy("root").agg(F.min("lead").alias("least"))
+    told = scratch.table(named.join(least, "root").select("cls", "root", "least"))
+    wider = classes.join(told, "cls", "left").select("cls", F.coalesce("least", "lead").alias("component_id"), F.coalesce("root", "row").alias("component"))
+    kept = ["doc_id", "text_hash", F.col("n").alias("n_grams"), "component_id", "component"]
+    linked = full.select("doc_id", "text_hash", "n", "cls").join(wider, "cls").select(*kept)
+    alone = rows.filter("n = 0").withColumns({"component_id": F.col("doc_id"), "component": F.col("row")})
+    return linked.unionByName(alone.select(*kept))
+
+
+def _roots(spark: SparkSession, scratch: Scratch, docs: DataFrame, lead: DataFrame, n: int, share: int) -> DataFrame:
+    """(node, root) of the rows of lead, one for each class, that link with another."""
+    # The entries of the product in columns that two rows share, and the first row of each column.
+    entries = lead.select("row", F.explode("first").alias("col"))
+    columns = entries.groupBy("col").agg(F.count("*").alias("m"), F.min("row").alias("b")).filter("m > 1")
+    shared = scratch.table(entries.join(columns, "col").select("col", "row", "m", "b"))
+    told = scratch.table(lead.select("row", "cls", "doc_id", "n", "sketch").join(shared.select("row").distinct(), "row", "left_semi"))
+    # A quarter of the cells, as the parity of four each, is asked where columns meet.
+    quarter = SKETCH // 256
+    fold = [F.expr(" ^ ".join(f"sketch[{i * quarter + k}]" for k in range(quarter))).alias(f"s{i}") for i in range(4)]
+    brief = told.select("row", "n", *fold)
     # First the partner that most columns name, one for each row.
-    votes = shared.filter("cls != b").filter(fits).groupBy("cls", "b").agg(F.count("*").alias("votes"))
-    pairs = scratch.table(votes.groupBy("cls").agg(F.max_by("b", F.struct("votes", "b")).alias("b")).select(F.col("cls").alias("a"), "b"))
-    tested, links = pairs, scratch.table(_verified(pairs, sets, share))
+    votes = shared.filter("row != b").groupBy("row", "b").agg(F.count("*").alias("votes"))
+    best = votes.groupBy(F.col("row").alias("a")).agg(F.max(F.struct("votes", "b")).alias("v")).select("a", "v.b")
+    tested = scratch.table(_within(best, told, share))
+    links = _verified(tested, docs, told, n, share, scratch)
     pivots = 0
     while True:
         roots = components(links, scratch)
-        held = shared.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("col", "cls", "n", "at", "m", F.coalesce("root", "cls").alias("root"))
+        held = shared.select("col", "row", "m").filter(F.col("m") > pivots).join(roots.select(F.col("node").alias("row"), "root"), "row", "left")
+        held = held.withColumn("root", F.coalesce("root", "row"))
         # Columns whose rows have different roots, and were not counted in full before.
-        open_ = held.filter(F.col("m") > pivots).groupBy("col").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select("col")
-        rest = scratch.table(held.join(open_, "col"))
+        open_ = held.groupBy("col").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select("col")
+        rest = scratch.table(held.join(open_, "col").join(brief, "row"))
         if rest.isEmpty():
             return roots
         pivots = max(1, pivots) * WIDEN
-        chance = F.pmod(F.xxhash64("cls"), F.lit(1 << 30)) * F.col("m") < F.lit(pivots * (1 << 30))
-        chosen = rest.filter(chance).select("col", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("root").alias("root_b"))
-        near = rest.join(chosen, "col").filter("cls != b AND root != root_b").filter(fits)
-        near = near.select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
-        pairs = scratch.table(near.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        tested = tested.unionByName(pairs)
-        links = scratch.table(links.unionByName(_verified(pairs, sets, share)))
+        chance = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) * F.col("m") < F.lit(pivots * (1 << 30))
+        chosen = rest.filter(chance).select("col", F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(4)))
+        apart = " + ".join(f"bit_count(s{i} ^ t{i})" for i in range(4))
+        near = rest.join(chosen, "col").filter(f"row != b AND root != root_b AND {100 + share} * ({apart}) <= {100 - share} * (n + n_b)").filter(_near("n", "n_b", share))
+        near = near.select(F.least("row", "b").alias("a"), F.greatest("row", "b").alias("b")).distinct()
+        near = near.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        pairs = scratch.table(_within(near, told, share))
+        if not pairs.isEmpty():
+            tested = tested.unionByName(pairs)
+            links = scratch.table(links.unionByName(_verified(pairs, docs, told, n, share, scratch)))
