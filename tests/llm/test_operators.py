@@ -101,7 +101,7 @@ def brute_passages(rows, size):
 
 def test_substring_dedup(spark):
     df, rows = documents(spark)
-    odd = [r for r in ODD if r != (5, "a b c d e a B c d")]  # rows that tie in doc_id have an order of their own
+    odd = [r for r in ODD if r not in ((5, "a b c d e a B c d"), (None, "a b c d x"))]  # rows that tie in doc_id have an order of their own
     for given, size in ((rows, 20), (odd, 4)):
         got = repeated_passages(frame(spark, given), size).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
         assert sorted(map(tuple, got), key=key) == brute_passages(given, size)
