@@ -180,9 +180,9 @@ def test_html_extraction(spark):
         article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         blocks = [" ".join(html_.unescape(re.sub(r"<(?!br)[^>]*>", "", b).replace("<br>", " ")).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert got[r.page_id] == "\n\n".join(b for b in blocks if b)
-    odd = [(1, "http://a/x", "<main><h1>T &lt;x&gt;</h1><p>a\n b<p>c<div class='comments'><p>no</div><form><p>no</form></main><footer>f", 1), (2, None, None, 1), (3, "x", "", 1), (4, "http://a/y", "plain <b>text", 1), (4, "http://a/y", "plain <b>text", 1), (5, "http://b/", "<p>" * 3000 + "deep", 1)]
+    odd = [(1, "http://a/x", "<main><h1>T &lt;x&gt;</h1><p>a\n b<p>c<div class='comments'><p>no</div><form><p>no</form></main><footer>f", 1), (2, None, None, 1), (3, "x", "", 1), (4, "http://a/y", "plain <b>text", 1), (4, "http://a/y", "plain <b>text", 1), (5, "http://b/", "<p>" * 3000 + "deep", 1), (6, "http://c/", "<div>" * 3000 + "down<nav>no</nav>" + "</div>" * 10 + "up", 1)]
     texts = main_texts(spark.createDataFrame(odd, "page_id long, url string, html string, text int")).orderBy("page_id").collect()
-    assert [r.text for r in texts] == ["T <x>\n\na b\n\nc", "", "", "plain text", "plain text", "deep"]
+    assert [r.text for r in texts] == ["T <x>\n\na b\n\nc", "", "", "plain text", "plain text", "deep", "down\n\nup"]
     assert main_texts(pages.limit(0)).count() == 0
 
 
