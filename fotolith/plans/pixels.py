@@ -1,6 +1,6 @@
 """Pixel stages as column expressions and grouped aggregates over a table of linear pixels (image_id, y, x, r, g, b).
 
-A stage takes a triple of columns and returns one; a plan is a fold of stages into one projection, which Spark compiles as a whole.
+A stage takes a triple of columns and returns one; a plan is a fold of stages into projections, which Spark compiles as a whole.
 Stages that need other pixels are window or grouped aggregates by image. Stages that change nothing are left out of a plan.
 """
 
@@ -185,11 +185,15 @@ def quantised(c: Column, bits: int = 8) -> Column:
 
 
 def plan(stages: list[Stage | None], df: DataFrame) -> DataFrame:
-    """df with r, g and b after all stages, in one projection; None stands for a stage that changes nothing."""
-    t = rgb()
+    """df with r, g and b after all stages; None stands for a stage that changes nothing.
+
+    Each stage is a projection of its own, so that a stage that uses a channel many times doesn't repeat the stages before it; Spark
+    compiles them into one loop over the rows.
+    """
     for stage in stages:
-        t = stage(t) if stage else t
-    return df.withColumns(dict(zip("rgb", t, strict=True)))
+        if stage:
+            df = df.withColumns(dict(zip("rgb", stage(rgb()), strict=True)))
+    return df
 
 
 # Statistics of images.

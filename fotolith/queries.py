@@ -398,17 +398,17 @@ def preset_overlay(s, d):
 _Y = "(0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b)"
 
 
-def _six(df: DataFrame) -> DataFrame:
-    return df.select("image_id", "y", "x", *(F.round(c, 6).alias(c) for c in "rgb"))
+def _six(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select("image_id", "y", "x", *(F.round(c, digits).alias(c) for c in "rgb"))
 
 
-def _point_sql(expr: str, extra: str = "") -> str:
+def _point_sql(expr: str, digits: int) -> str:
     """expr: of one channel, written {c}."""
-    return O.with_tables(O.PIXELS, body="SELECT image_id, y, x, " + ", ".join(f"round({expr.format(c=c, y=_Y)}, 6) AS {c}" for c in "rgb") + f" FROM pixels {extra}")
+    return O.with_tables(O.PIXELS, body="SELECT image_id, y, x, " + ", ".join(f"round({expr.format(c=c, y=_Y)}, {digits}) AS {c}" for c in "rgb") + " FROM pixels")
 
 
-def _point(name: str, stage: P.Stage, sql: str):
-    query(name, _point_sql(sql))(lambda s, d: _six(P.plan([stage], Library(s, d).pixels())))
+def _point(name: str, stage: P.Stage, sql: str, digits: int = 6):
+    query(name, _point_sql(sql, digits))(lambda s, d: _six(P.plan([stage], Library(s, d).pixels()), digits))
 
 
 def _smooth(low: float, high: float, x: str) -> str:
@@ -446,7 +446,7 @@ def _combined_mask(t):
     return P.local_exposure(P.combined(P.combined(a, b, "add"), b, "subtract"), -1.0)(t)
 
 
-_point("mask_combine", _combined_mask, f"{{c}} * pow(2::DOUBLE, -1 * ({_MASK} + {_RAD} - {_MASK} * {_RAD}) * (1 - {_RAD}))")
+_point("mask_combine", _combined_mask, f"{{c}} * pow(2::DOUBLE, -1 * ({_MASK} + {_RAD} - {_MASK} * {_RAD}) * (1 - {_RAD}))", 9)
 
 
 def _calibration_sql(c: str) -> str:
@@ -501,14 +501,14 @@ def px_pyramid(s, d):
     return P.halved(_eight(s, d), 64)
 
 
-@query("px_scene_map", O.with_tables(O.PIXELS, body="SELECT image_id, y * 16 // 64 AS y, x * 16 // 64 AS x, " + ", ".join(f"round(avg({c}), 5) AS {c}" for c in "rgb") + " FROM pixels GROUP BY image_id, y * 16 // 64, x * 16 // 64"))
+@query("px_scene_map", O.with_tables(O.PIXELS, body="SELECT image_id, y * 16 // 64 AS y, x * 16 // 64 AS x, " + ", ".join(f"round(avg({c}), 10) AS {c}" for c in "rgb") + " FROM pixels GROUP BY image_id, y * 16 // 64, x * 16 // 64"))
 def px_scene_map(s, d):
-    return P.scene_map(Library(s, d).pixels(), 64, 16).select("image_id", "y", "x", *(F.round(c, 5).alias(c) for c in "rgb"))
+    return P.scene_map(Library(s, d).pixels(), 64, 16).select("image_id", "y", "x", *(F.round(c, 10).alias(c) for c in "rgb"))
 
 
-@query("px_box_blur", O.with_tables(O.PIXELS, "h AS (SELECT image_id, y, x, avg(r) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM pixels)", body="SELECT image_id, y, x, round(avg(v) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 5) AS blurred FROM h"))
+@query("px_box_blur", O.with_tables(O.PIXELS, "h AS (SELECT image_id, y, x, avg(r) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS v FROM pixels)", body="SELECT image_id, y, x, round(avg(v) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 10) AS blurred FROM h"))
 def px_box_blur(s, d):
-    return P.box(Library(s, d).pixels(), ["r"], 2).select("image_id", "y", "x", F.round("box_r", 5).alias("blurred"))
+    return P.box(Library(s, d).pixels(), ["r"], 2).select("image_id", "y", "x", F.round("box_r", 10).alias("blurred"))
 
 
 def _box_sql(src: str, cols: list[str], name: str, r: int) -> str:
@@ -521,10 +521,10 @@ _G0 = f"g0 AS (SELECT *, {_Y} AS gu, r AS iv, {_Y} * {_Y} AS gg, {_Y} * r AS gi
 _G2 = "g2 AS (SELECT *, (gi_m - gu_m * iv_m) / (greatest(0, gg_m - gu_m * gu_m) + 0.25::DOUBLE) AS aa, iv_m - (gi_m - gu_m * iv_m) / (greatest(0, gg_m - gu_m * gu_m) + 0.25::DOUBLE) * gu_m AS bb FROM g1)"
 
 
-@query("px_guided_map", O.with_tables(O.PIXELS, _G0, _box_sql("g0", ["gu", "iv", "gg", "gi"], "g1", 3), _G2, _box_sql("g2", ["aa", "bb"], "g3", 3), body="SELECT image_id, y, x, round(aa_m, 4) AS a, round(bb_m, 4) AS b FROM g3"))
+@query("px_guided_map", O.with_tables(O.PIXELS, _G0, _box_sql("g0", ["gu", "iv", "gg", "gi"], "g1", 3), _G2, _box_sql("g2", ["aa", "bb"], "g3", 3), body="SELECT image_id, y, x, round(aa_m, 4) + 0.0 AS a, round(bb_m, 4) + 0.0 AS b FROM g3"))
 def px_guided_map(s, d):
     out = P.guided(Library(s, d).pixels(), P.luma(P.rgb()), F.col("r"), 3, 0.25)
-    return out.select("image_id", "y", "x", F.round("a", 4).alias("a"), F.round("b", 4).alias("b"))
+    return out.select("image_id", "y", "x", (F.round("a", 4) + 0.0).alias("a"), (F.round("b", 4) + 0.0).alias("b"))
 
 
 _W = "(PARTITION BY image_id, {} ORDER BY {} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)"
