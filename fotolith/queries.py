@@ -360,9 +360,9 @@ i AS (SELECT *, exposure = 0 AND contrast = 0 AND whites = 0 AND sharpening = 40
 
 
 @query("recipe_migrate", f"""WITH {_READ} SELECT id, CASE WHEN v <= 33 THEN 33 END AS version, CASE WHEN v <= 33 THEN exposure END AS exposure, CASE WHEN v <= 33 THEN sharpening END AS sharpening, CASE WHEN v <= 33 THEN look END AS look,
-CASE WHEN v <= 33 THEN v BETWEEN 2 AND 25 AND whites <> 0 END AS whites_from_sensor, CASE WHEN v <= 33 THEN v >= 29 OR plain END AS profile, CASE WHEN v <= 33 THEN v < 30 AND NOT plain END AS unoriented FROM i""")
+CASE WHEN v <= 33 THEN v BETWEEN 2 AND 25 AND whites <> 0 END AS whites_from_sensor, CASE WHEN v <= 33 THEN v >= 29 OR plain END AS profile, CASE WHEN v <= 33 THEN v < 30 AND NOT plain END AS unoriented FROM i WHERE v <= 33""")
 def recipe_migrate(s, d):
-    held = _recipes(Library(s, d)).select("id", R.parsed(F.col("recipe")).alias("r"))
+    held = _recipes(Library(s, d)).select("id", R.parsed(F.col("recipe")).alias("r")).filter("r IS NOT NULL")
     return held.selectExpr("id", "r.version", "r.exposure", "r.sharpening", "r.look", "r.whitesFromSensor AS whites_from_sensor", "r.profileCorrections AS profile", "r.unoriented")
 
 
