@@ -2,12 +2,14 @@
 
 A page is read as a stream of block tags and texts, closed where HTML leaves tags open. Streams of one host are aligned one after the
 other into a union-free regular expression: siblings that repeat become repeated groups, mismatches become optional groups, and texts
-that differ become slots; texts that all pages share stay constants. A page's texts are then read through its host's wrapper. Slots of
-menus, headers, footers, forms, adverts and the like, and constants beside the article, are left out.
+that differ become slots; texts that all pages with a slot share stay its constants, beside the others of a repeated group too. A page's
+texts are then read through its host's wrapper, inside and outside the article alike: constants are left out, and so are slots of menus,
+headers, footers, forms, adverts and the like. An <article> or <main> is the article's region unless most of what varies lies outside it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -26,8 +28,12 @@ WRAPPER_PAGES = 8
 BROADCAST_CHARS = 32 << 20
 #: Texts of elements nested deeper than this count for their ancestor at that depth.
 DEPTH = 100
-#: A constant counts as boilerplate if so many pages have it.
+#: A constant counts as boilerplate, and a slot as one that varies, if so many pages have it.
 CONSTANT_PAGES = 3
+#: Articles of a host with more constant characters than so many times those that vary are copies of each other.
+COPIES = 4
+#: Tags that may be the article's region.
+ARTICLE = ("article", "main")
 
 # Fixed values of HTML: tags that part blocks, tags whose text is no article, raw text, and void tags.
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -114,18 +120,24 @@ def tree(page: str) -> Node:
     return root
 
 
-# A wrapper is [label, good, optional, repeated, items]; a text slot is ["#", constant or None, pages that have it, optional, repeated].
+# A wrapper is [label, good, optional, repeated, items]; a text slot is ["#", constants, pages that have it, optional, repeated, characters].
+# Constants are the texts that all those pages have there, by digest, with their characters; characters are of pages that have an article.
+
+
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
 def _label(item) -> str:
     return "#" if isinstance(item, str) else item.label if isinstance(item, Node) else item[0]
 
 
-def wrapper_of(node: Node) -> list:
-    """The expression of one page: runs of siblings of one label are folded into a repeated group."""
+def wrapper_of(node: Node, article: bool | None = None) -> list:
+    """The expression of one page: runs of siblings of one label are folded into a repeated group. Elements that are never read stay empty."""
     items = []
-    for x in node.items:
-        new = ["#", x, 1, False, False] if isinstance(x, str) else wrapper_of(x)
+    article = _holds(node, ARTICLE) if article is None else article
+    for x in node.items if node.good else ():
+        new = ["#", {_digest(x): len(x)}, 1, False, False, len(x) if article else 0] if isinstance(x, str) else wrapper_of(x, article)
         if items and items[-1][0] == new[0]:
             items[-1] = _merged(items[-1], new, same_page=True)
             items[-1][_repeated(items[-1])] = True
@@ -166,9 +178,10 @@ def _pairs(a: list, b: list) -> list[tuple[int | None, int | None]]:
 
 
 def _merged(a: list, b: list, same_page: bool = False) -> list:
-    """One expression for both: what only one has becomes optional, what repeats in one repeats, texts that differ become a slot."""
+    """One expression for both: what only one has becomes optional, what repeats in one repeats, texts that differ are no constants."""
     if a[0] == "#":
-        return ["#", a[1] if a[1] == b[1] else None, a[2] if same_page else a[2] + b[2], a[3] or b[3], a[4] or b[4]]
+        texts = a[1] | b[1] if same_page else {k: n for k, n in a[1].items() if k in b[1]}
+        return ["#", texts, a[2] if same_page else a[2] + b[2], a[3] or b[3], a[4] or b[4], a[5] + b[5]]
     items = []
     for i, j in _pairs(a[4], b[4]):
         x = a[4][i] if j is None else b[4][j] if i is None else _merged(a[4][i], b[4][j], same_page)
@@ -188,23 +201,47 @@ def inferred(pages: list[str]) -> list:
     return out
 
 
-def _has(w: list, names: tuple[str, ...]) -> bool:
-    return any(x[0] != "#" and x[1] and (x[0].partition(".")[0] in names or _has(x, names)) for x in w[4])
-
-
 def _holds(node: Node, names: tuple[str, ...]) -> bool:
     return any(not isinstance(x, str) and x.good and (x.label.partition(".")[0] in names or _holds(x, names)) for x in node.items)
 
 
-def read(node: Node, wrapper: list | None) -> list[str]:
+def _region(w: list, inside: bool = False) -> tuple[int, int, int]:
+    """Characters of a host's texts: those that vary in articles, constants in articles, and those that vary outside them."""
+    inner = fixed = outer = 0
+    inside = inside or w[0].partition(".")[0] in ARTICLE
+    for x in w[4]:
+        if x[0] != "#":
+            i, f, o = _region(x, inside)
+            inner, fixed, outer = inner + i, fixed + f, outer + o
+            continue
+        same = min(x[5], x[2] * sum(x[1].values())) if x[2] >= CONSTANT_PAGES else 0
+        if inside:
+            inner, fixed = inner + x[5] - same, fixed + same
+        elif x[2] >= CONSTANT_PAGES:
+            outer += x[5] - same
+    return inner, fixed, outer
+
+
+def opened(wrapper: str) -> tuple[list, bool, bool]:
+    """A host's wrapper, whether <article> or <main> is the region, and whether constants in it are boilerplate.
+
+    Where nearly all of the articles' text is constant (COPIES), pages are copies of each other, which tells nothing about boilerplate.
+    """
+    w = json.loads(wrapper)
+    inner, fixed, outer = _region(w)
+    return w, outer <= inner + fixed, fixed <= COPIES * inner
+
+
+def read(node: Node, wrapper: tuple[list, bool, bool] | None) -> list[str]:
     """The texts of a page's article, block by block, through the wrapper of its host; None reads it by tags alone."""
-    article = wrapper is not None and _has(wrapper, ("article", "main")) and _holds(node, ("article", "main"))
+    whole, tagged, strip = wrapper or (None, False, False)
+    article = tagged and _holds(node, ARTICLE)
     out: list[str] = []
 
     def walk(n: Node, w: list | None, inside: bool):
         if not n.good:
             return
-        inside = inside or n.label.partition(".")[0] in ("article", "main")
+        inside = inside or n.label.partition(".")[0] in ARTICLE
         # Runs of one label are one group of the wrapper.
         runs: list[list] = []
         for x in n.items:
@@ -218,10 +255,12 @@ def read(node: Node, wrapper: list | None) -> list[str]:
             for x in run:
                 if not isinstance(x, str):
                     walk(x, mine, inside)
-                elif (inside or not article) and not (mine and not inside and mine[1] == x and mine[2] >= CONSTANT_PAGES):
-                    out.append(x)
+                elif inside or not article:
+                    fixed = mine and mine[1] and mine[2] >= CONSTANT_PAGES and (strip or not inside) and _digest(x) in mine[1]
+                    if not fixed:
+                        out.append(x)
 
-    walk(node, wrapper, False)
+    walk(node, whole, False)
     return out
 
 
@@ -231,7 +270,7 @@ def _infer(pages: pd.DataFrame) -> pd.DataFrame:
 
 
 def _extract(batches):
-    known: dict[str, list] = {}
+    known: dict[str, tuple] = {}
     for batch in batches:
         pages, wrappers = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("html", "wrapper"))
         texts = []
@@ -239,7 +278,7 @@ def _extract(batches):
             if w is not None and w not in known:
                 if len(known) >= 256:
                     known.clear()
-                known[w] = json.loads(w)
+                known[w] = opened(w)
             texts.append("\n\n".join(read(tree(p or ""), known.get(w))))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

@@ -186,6 +186,22 @@ def test_html_extraction(spark):
     assert main_texts(pages.limit(0)).count() == 0
 
 
+def extracted(spark, pages):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in main_texts(df).orderBy("page_id").collect()]
+
+
+def test_html_wrapper_decides_inside_articles(spark):
+    notice = "<p>All rights of this text are kept.</p>"
+    pages = [("http://a/", f"<div>Home</div><article><h1>Title {k}</h1><p>First story of {k}.</p>{notice}<p>It goes on for {k}.</p><div>Get our letter</div></article>") for k in range(6)]
+    pages += [("http://b/", f"<div>Home</div><div class='story'>A long story that varies from page to page, here {k}.</div><article>Card {k}</article>") for k in range(6)]
+    pages += [("http://c/", f"<article><p>Near copies share this long paragraph.</p><p>Part {k}</p></article>") for k in range(4)]
+    want = [f"Title {k}\n\nFirst story of {k}.\n\nIt goes on for {k}." for k in range(6)]
+    want += [f"A long story that varies from page to page, here {k}.\n\nCard {k}" for k in range(6)]
+    want += [f"Near copies share this long paragraph.\n\nPart {k}" for k in range(4)]
+    assert extracted(spark, pages) == want
+
+
 def test_url_filters(spark):
     urls = [None, "abc", "http://X.NET", "a://b://c/d?e", "http://org/fr/x#y", "http://EXAMPLE.net/en/", "https://m.casino-win.example.com/en/1", "https://www.ththa.example.com/en/1", "http://a.example.com/de/"]
     df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, rule string")
