@@ -1,7 +1,7 @@
 """Main text of web pages by wrappers inferred for each host.
 
-A page is read as a stream of block tags and texts, closed where HTML leaves tags open. Streams of one host are aligned one after the
-other into a union-free regular expression: siblings that repeat become repeated groups, mismatches become optional groups, and texts
+A page is read as a stream of block tags and texts, closed where HTML leaves tags open. Streams of all pages of a host are aligned into a
+union-free regular expression, in groups of bounded size whose expressions are aligned in turn: siblings that repeat become repeated groups, mismatches become optional groups, and texts
 that differ become slots; texts that all pages with a slot share stay its constants, beside the others of a repeated group too. A page's
 texts are then read through its host's wrapper, inside and outside the article alike: constants are left out, and so are slots of menus,
 headers, footers, forms, adverts and the like. An <article> or <main> is the article's region unless most of what varies lies outside it.
@@ -14,16 +14,15 @@ import html
 import json
 import re
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, bounded_batches
 from .url_filter import host_of
 
-#: Pages of a host that its wrapper is inferred from, those of least hash. Every page is read through the wrapper.
-WRAPPER_PAGES = 8
+#: About so many expressions are aligned in one group; a host with more has more levels of groups.
+FANOUT = 128
 #: Wrappers up to this sum of characters are broadcast; more are joined by host.
 BROADCAST_CHARS = 32 << 20
 #: Texts of elements nested deeper than this count for their ancestor at that depth.
@@ -46,11 +45,12 @@ NOISE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comment
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</\s*([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPACE = re.compile(r"\s+")
+DIGITS = re.compile(r"\d+")
 ENDS = {t: re.compile(rf"</{t}(?=[\s/>]|$)", re.I) for t in RAW}
 
 
 class Node:
-    """An element of a page: a label (tag and what its class says), whether its text counts, and elements and texts in order."""
+    """An element of a page: a label (tag and what its class says, numbers aside), whether its text counts, and elements and texts in order."""
 
     __slots__ = ("label", "good", "items")
 
@@ -106,7 +106,7 @@ def tree(page: str) -> Node:
                         break
                     if name in ("ul", "ol", "table", "dl", "select", "html"):
                         break
-                node = Node(f"{tag}.{' '.join(noise)}" if noise else tag, stack[-1].good and tag not in NEVER and not any(map(NOISE.search, noise)))
+                node = Node(f"{tag}.{DIGITS.sub('0', ' '.join(noise))}" if noise else tag, stack[-1].good and tag not in NEVER and not any(map(NOISE.search, noise)))
                 if len(stack) <= DEPTH:
                     stack[-1].items.append(node)
                 stack.append(node)
@@ -159,22 +159,27 @@ def _pairs(a: list, b: list) -> list[tuple[int | None, int | None]]:
     la, lb = [_label(x) for x in a], [_label(x) for x in b]
     if la == lb:
         return [(i, i) for i in range(len(la))]
-    best = [[0] * (len(lb) + 1) for _ in range(len(la) + 1)]
-    for i in range(len(la) - 1, -1, -1):
-        for j in range(len(lb) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if la[i] == lb[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < len(la) or j < len(lb):
-        if i < len(la) and j < len(lb) and la[i] == lb[j]:
-            out.append((i, j))
+    # Labels that only one row has are in no common subsequence.
+    both = set(la) & set(lb)
+    ia, ib = ([i for i, x in enumerate(row) if x in both] for row in (la, lb))
+    best = [[0] * (len(ib) + 1) for _ in range(len(ia) + 1)]
+    for i in range(len(ia) - 1, -1, -1):
+        for j in range(len(ib) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if la[ia[i]] == lb[ib[j]] else max(best[i + 1][j], best[i][j + 1])
+    matched, i, j = [], 0, 0
+    while i < len(ia) and j < len(ib):
+        if la[ia[i]] == lb[ib[j]]:
+            matched.append((ia[i], ib[j]))
             i, j = i + 1, j + 1
-        elif j == len(lb) or (i < len(la) and best[i + 1][j] >= best[i][j + 1]):
-            out.append((i, None))
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append((None, j))
             j += 1
-    return out
+    out, i, j = [], 0, 0
+    for x, y in [*matched, (len(la), len(lb))]:
+        out += [(k, None) for k in range(i, x)] + [(None, k) for k in range(j, y)] + [(x, y)]
+        i, j = x + 1, y + 1
+    return out[:-1]
 
 
 def _merged(a: list, b: list, same_page: bool = False) -> list:
@@ -192,15 +197,6 @@ def _merged(a: list, b: list, same_page: bool = False) -> list:
     return [a[0], a[1] and b[1], a[2] or b[2], a[3] or b[3], items]
 
 
-def inferred(pages: list[str]) -> list:
-    """The wrapper of a host, from its pages one after the other."""
-    out = None
-    for p in pages:
-        new = wrapper_of(tree(p))
-        out = new if out is None else _merged(out, new)
-    return out
-
-
 def _holds(node: Node, names: tuple[str, ...]) -> bool:
     return any(not isinstance(x, str) and x.good and (x.label.partition(".")[0] in names or _holds(x, names)) for x in node.items)
 
@@ -222,14 +218,19 @@ def _region(w: list, inside: bool = False) -> tuple[int, int, int]:
     return inner, fixed, outer
 
 
-def opened(wrapper: str) -> tuple[list, bool, bool]:
+def _seen(w: list) -> list:
+    """A wrapper without slots of fewer pages than CONSTANT_PAGES, which decide nothing, and elements that hold nothing else."""
+    items = [x if x[0] == "#" else _seen(x) for x in w[4]]
+    return [*w[:4], [x for x in items if (x[2] >= CONSTANT_PAGES if x[0] == "#" else x[4])]]
+
+
+def closed(w: list) -> tuple[list, bool, bool]:
     """A host's wrapper, whether <article> or <main> is the region, and whether constants in it are boilerplate.
 
     Where nearly all of the articles' text is constant (COPIES), pages are copies of each other, which tells nothing about boilerplate.
     """
-    w = json.loads(wrapper)
     inner, fixed, outer = _region(w)
-    return w, outer <= inner + fixed, fixed <= COPIES * inner
+    return _seen(w), outer <= inner + fixed, fixed <= COPIES * inner
 
 
 def read(node: Node, wrapper: tuple[list, bool, bool] | None) -> list[str]:
@@ -264,9 +265,57 @@ def read(node: Node, wrapper: tuple[list, bool, bool] | None) -> list[str]:
     return out
 
 
-def _infer(pages: pd.DataFrame) -> pd.DataFrame:
-    pages = pages.sort_values(["order", "html"])
-    return pd.DataFrame({"host": pages["host"].iloc[:1], "wrapper": [json.dumps(inferred(pages["html"].tolist()), ensure_ascii=False)]})
+def _json(x) -> str:
+    return json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+
+
+def _wrap(batches):
+    for batch in batches:
+        own = [_json(wrapper_of(tree(p.as_py()))) for p in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.string())], ["host", "wrapper"])
+
+
+def _folded(last: bool):
+    """Aligns rows (host, bucket, wrapper), sorted by host and bucket, into one for each bucket; the last time, wrappers are closed."""
+
+    def fold(batches):
+        at, held = None, None
+        for batch in batches:
+            out = []
+            for host, bucket, w in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if at == (host, bucket):
+                    held = _merged(held, json.loads(w))
+                    continue
+                if at is not None:
+                    out.append((*at, _json(closed(held) if last else held)))
+                at, held = (host, bucket), json.loads(w)
+            yield rows(out)
+        if at is not None:
+            yield rows([(*at, _json(closed(held) if last else held))])
+
+    def rows(out):
+        kinds = (pa.string(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["host", "bucket", "wrapper"])
+
+    return fold
+
+
+def wrappers_of(pages: DataFrame) -> DataFrame:
+    """host and its wrapper from all of its pages (host, html). Pages whose expression is the same are one page.
+
+    Groups are told by the hash of a page's expression, so neither partitions nor the order of rows matter, and hosts of many pages are split.
+    """
+    scratch = Scratch(pages.sparkSession, "wrappers")
+    own = scratch.table(pages.filter("html IS NOT NULL").select("host", "html").mapInArrow(_wrap, "host string, wrapper string").distinct())
+    most, levels = own.groupBy("host").count().agg(F.max("count")).first()[0] or 0, 0
+    while FANOUT ** (levels + 1) < most:
+        levels += 1
+    held = own.withColumn("bucket", F.xxhash64("wrapper"))
+    for level in range(levels, -1, -1):
+        held = held.withColumn("order", F.col("bucket")).withColumn("bucket", F.pmod("bucket", F.lit(FANOUT**level).cast("long")))
+        held = held.repartition("host", "bucket").sortWithinPartitions("host", "bucket", "order", "wrapper").select("host", "bucket", "wrapper")
+        held = held.mapInArrow(_folded(level == 0), "host string, bucket long, wrapper string")
+    return scratch.table(held.select("host", "wrapper"))
 
 
 def _extract(batches):
@@ -278,7 +327,7 @@ def _extract(batches):
             if w is not None and w not in known:
                 if len(known) >= 256:
                     known.clear()
-                known[w] = opened(w)
+                known[w] = json.loads(w)
             texts.append("\n\n".join(read(tree(p or ""), known.get(w))))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
@@ -291,10 +340,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """
     bounded_batches(pages.sparkSession, 512)
     pages = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url")))
-    nth = F.row_number().over(Window.partitionBy("host").orderBy("order"))
-    some = pages.filter("html IS NOT NULL").select("host", "html", F.xxhash64("page_id", "url").alias("order")).withColumn("nth", nth).filter(F.col("nth") <= WRAPPER_PAGES)
-    wrappers = some.select("host", "html", "order").groupBy("host").applyInPandas(_infer, "host string, wrapper string")
-    wrappers = Scratch(pages.sparkSession, "wrappers").table(wrappers)
+    wrappers = wrappers_of(pages)
     size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()[0]
     held = pages.join(F.broadcast(wrappers) if size <= BROADCAST_CHARS else wrappers, "host", "left")
     out = held.select("page_id", "url", "html", "wrapper").mapInArrow(_extract, "page_id long, url string, text string")

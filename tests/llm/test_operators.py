@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fotolith.llm import decontaminate, queries
+from fotolith.llm import decontaminate, html_extract, queries
 from fotolith.llm.chat_format import formatted_chats, read_back
 from fotolith.llm.decontaminate import benchmark_matches
 from fotolith.llm.exact_dedup import exact_duplicates
@@ -202,6 +202,17 @@ def test_html_wrapper_decides_inside_articles(spark):
     assert extracted(spark, pages) == want
 
 
+@pytest.mark.parametrize("fanout", [128, 3])
+def test_html_wrappers_of_all_pages(spark, monkeypatch, fanout):
+    monkeypatch.setattr(html_extract, "FANOUT", fanout, raising=False)
+    pages = [("http://a/", f"<div>Home</div><article><h1>Title {k}</h1><p>First story of {k}.</p></article>") for k in range(60)]
+    pages += [("http://a/", f"<div>Home</div><article><h1>Title {k}</h1><p>Second story of {k}.</p><section id='s{k}'>Printed in our paper</section></article>") for k in range(60, 64)]
+    pages += [("http://a/", f"<article><h1>Title {k}</h1><p>Story.</p></article><section class='{'abcdefgh'[k % 8] * k}'>Beside</section>") for k in range(64, 80)]
+    want = [f"Title {k}\n\nFirst story of {k}." for k in range(60)] + [f"Title {k}\n\nSecond story of {k}." for k in range(60, 64)] + [f"Title {k}\n\nStory." for k in range(64, 80)]
+    assert extracted(spark, pages) == want
+    assert extracted(spark, pages[::-1]) == want[::-1]
+
+
 def test_url_filters(spark):
     urls = [None, "abc", "http://X.NET", "a://b://c/d?e", "http://org/fr/x#y", "http://EXAMPLE.net/en/", "https://m.casino-win.example.com/en/1", "https://www.ththa.example.com/en/1", "http://a.example.com/de/"]
     df = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, rule string")
