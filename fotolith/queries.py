@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as O
@@ -13,6 +13,7 @@ from .functions import text as X
 from .functions.fingerprint import fnv1a
 from .operators import changes, index, retention
 from .operators.catalogue import DETAILS, NUMBERS, RECENT_MS, Catalogue, Rules
+from .operators.order import running
 from .operators.search import FIELDS, PARTS, terms
 from .plans import pixels as P
 from .plans import recipe as R
@@ -180,10 +181,18 @@ def photo_neighbours(s, d):
 
 @query("natural_sort", """SELECT name, row_number() OVER (ORDER BY n, kind) AS nth FROM (SELECT 'DSC_' || p_partkey || '.NEF' AS name, p_partkey AS n, 0 AS kind FROM part WHERE p_partkey <= 150 UNION ALL SELECT 'dsc_0' || p_partkey || '.nef', p_partkey, 1 FROM part WHERE p_partkey <= 150)""")
 def natural_sort(s, d):
-    part = Library(s, d)._read("part").filter("p_partkey <= 150")
+    return _natural_sort(Library(s, d)._read("part").filter("p_partkey <= 150"))
+
+
+def _natural_sort(part: DataFrame) -> DataFrame:
     names = part.selectExpr("concat('DSC_', p_partkey, '.NEF') AS name").union(part.selectExpr("concat('dsc_0', p_partkey, '.nef')"))
-    w = Window.orderBy(X.natural_key(F.col("name")), "name")  # 300 names by its filter
-    return names.select("name", F.row_number().over(w).cast("long").alias("nth"))
+    key = X.natural_key(F.col("name"))
+    return running(names, "nth", key, [key, F.col("name")], F.lit(1).cast("long")).select("name", "nth")
+
+
+@query("natural_sort_all", """SELECT name, row_number() OVER (ORDER BY n, kind) AS nth FROM (SELECT 'DSC_' || p_partkey || '.NEF' AS name, p_partkey AS n, 0 AS kind FROM part UNION ALL SELECT 'dsc_0' || p_partkey || '.nef', p_partkey, 1 FROM part)""")
+def natural_sort_all(s, d):
+    return _natural_sort(Library(s, d)._read("part"))
 
 
 @query("library_sort_newest", O.with_tables(O.PHOTOS, O.FILES, body="SELECT p.id, f.path FROM photos p JOIN files f ON f.photo_id = p.id WHERE NOT f.missing ORDER BY p.captured_at DESC NULLS LAST, f.path LIMIT 200"))

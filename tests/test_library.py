@@ -166,6 +166,16 @@ def plain(v):
     return round(float(v), 6) if isinstance(v, float | Decimal) else v
 
 
+def test_natural_sort_of_all_rows(spark, duck, monkeypatch):
+    from fotolith.operators import order
+
+    monkeypatch.setattr(order, "ROWS", 30)  # many ranges
+    got = Q.QUERIES["natural_sort_all"](spark, SF)
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(duck.sql(Q.ORACLE["natural_sort_all"]).fetchall())
+    assert got.count() == 2 * spark.read.parquet(f"{SF}/part.parquet").count()
+
+
 @pytest.mark.parametrize("name", sorted(n for n in Q.ORACLE if not n.startswith(("px_", "mask_"))))
 def test_query_equals_sql(spark, duck, name):
     got = Q.QUERIES[name](spark, SF)
