@@ -277,10 +277,20 @@ def backup_newest_valid(s, d):
 @query("export_names", """WITH s AS (SELECT '/in/' || o_orderkey || '/' || o_orderpriority || '.NEF' AS path, o_orderpriority AS stem, o_orderkey AS k FROM orders WHERE o_orderkey <= 400), n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY path) AS nth FROM s),
 t AS (SELECT stem, nth, path, CASE WHEN stem = '5-LOW' THEN nth + CASE WHEN nth >= 3 THEN 2 ELSE 1 END ELSE nth END AS k FROM n) SELECT path, CASE WHEN k = 1 THEN stem ELSE stem || '-' || k END || '.jpg' AS name FROM t""")
 def export_names(s, d):
-    sources = Library(s, d)._read("orders").filter("o_orderkey <= 400").selectExpr("concat('/in/', o_orderkey, '/', o_orderpriority, '.NEF') AS path")
+    return _export_names(s, Library(s, d)._read("orders").filter("o_orderkey <= 400"))
+
+
+def _export_names(s: SparkSession, orders: DataFrame) -> DataFrame:
+    sources = orders.selectExpr("concat('/in/', o_orderkey, '/', o_orderpriority, '.NEF') AS path")
     return retention.export_names(sources, "jpg", s.createDataFrame([("5-LOW.jpg",), ("5-LOW-4.jpg",), ("other.txt",)], "name string"))
 
 
+@query("export_names_all", """WITH s AS (SELECT '/in/' || o_orderkey || '/' || o_orderpriority || '.NEF' AS path, o_orderpriority AS stem, o_orderkey AS k FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY path) AS nth FROM s),
+t AS (SELECT stem, nth, path, CASE WHEN stem = '5-LOW' THEN nth + CASE WHEN nth >= 3 THEN 2 ELSE 1 END ELSE nth END AS k FROM n) SELECT path, CASE WHEN k = 1 THEN stem ELSE stem || '-' || k END || '.jpg' AS name FROM t""")
+def export_names_all(s, d):
+    return _export_names(s, Library(s, d)._read("orders"))
+
+
 # Changes.
 
 

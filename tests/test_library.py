@@ -107,6 +107,27 @@ def test_export_names(spark):
     assert names == {"/a/p.nef": "p-2.jpg", "/b/p.nef": "p-4.jpg", "/c/q.nef": "q.jpg"}
 
 
+@pytest.mark.parametrize("rows", [10_000, 20])
+def test_export_names_across_stems(spark, monkeypatch, rows):
+    import random
+
+    from fotolith.operators import order
+
+    monkeypatch.setattr(order, "ROWS", rows)
+    rng = random.Random(rows)
+    stems = ["p", "p-2", "p-3", "p-2-2", "p-2-3", "p-2-2-2", "q-2", "q", "p-1", "p-01"]
+    cases = [(["/a/p.nef", "/b/p.nef", "/c/p-2.nef"], [])]
+    cases += [([f"/{rng.randrange(1000):03}-{i}/{rng.choice(stems)}.nef" for i in range(n)], taken) for n, taken in ((60, ["p-4", "p-2-2", "q"]), (150, []))]
+    for paths, taken in cases:
+        held, want = {f"{t}.jpg" for t in taken}, {}
+        for path in sorted(paths):  # as the reference does it, one after the other
+            stem = path.rpartition("/")[2].removesuffix(".nef")
+            want[path] = next(n for k in range(1, 999) if (n := f"{stem}{f'-{k}' if k > 1 else ''}.jpg") not in held)
+            held.add(want[path])
+        existing = spark.createDataFrame([(f"{t}.jpg",) for t in taken], "name string")
+        assert {r.path: r.name for r in retention.export_names(spark.createDataFrame([(p,) for p in paths], "path string"), "jpg", existing).collect()} == want
+
+
 def test_text(spark):
     row = spark.createDataFrame([("  a \t b\n\n\n c ", "b, A;a\nb c", "NIKON", "Nikon Z 6")], "t string, k string, make string, model string")
     got = row.select(X.tidy(F.col("t"), "title"), X.tidy(F.col("t"), "caption"), X.keywords_in(F.col("k")), X.camera_name(F.col("make"), F.col("model"))).first()
