@@ -18,7 +18,7 @@ from .words import ALNUM, U, Words, mix, pieces, text_buffer
 
 #: Words of test items that are compiled and broadcast at once: about 100 MB. More items are searched in further passes.
 BLOCK_WORDS = 1 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 MARKS = 1 << 20
 MATCHES = "array<struct<item:string,item_word:int,word:int,words:int>>"
 
@@ -90,10 +90,13 @@ def _search(w: Words, block: Block) -> tuple[np.ndarray, np.ndarray]:
     array[np.arange(block.window) >= left[suffix][:, None]] = 0
     order = np.lexsort(array.T[::-1])
     suffix, array = suffix[order], array[order]
-    inside = np.arange(block.window) < block.size[:, None]
-    low, high = (_bisect(array, block.keys, inside, upper) for upper in (False, True))
+    # Of the test suffixes those are searched whose first word begins a suffix of this shard.
+    heads = array[np.concatenate([[True], array[1:, 0] != array[:-1, 0]]), 0]
+    asked = np.flatnonzero(heads[np.minimum(np.searchsorted(heads, block.keys[:, 0]), len(heads) - 1)] == block.keys[:, 0])
+    keys, inside = block.keys[asked], np.arange(block.window) < block.size[asked][:, None]
+    low, high = (_bisect(array, keys, inside, upper) for upper in (False, True))
     times = high - low
-    which = np.repeat(np.arange(len(times)), times)
+    which = np.repeat(asked, times)
     at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
     return which, suffix[at]
 

@@ -9,6 +9,23 @@ from .bits import bitmap, marked
 from .scratch import Scratch
 
 
+#: Groups with more than this share of all rows are joined by broadcast, so there are fewer of them than its inverse.
+HOT = 1e-5
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, scratch: Scratch) -> DataFrame:
+    """rows with the columns of groups, which has one row for each key and its number of rows (size); null where a key has no group.
+
+    The largest groups are joined where their rows are read, so that no task gets a whole one; groups must be a written table.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    large = scratch.table(groups.filter(F.col(size) > max(1000.0, HOT * total)))  # fewer rows than 1 / HOT
+    placed = rows.join(F.broadcast(large), key, "left")
+    small = groups.filter(F.col(size) <= max(1000.0, HOT * total))
+    rest = placed.filter(F.col(size).isNull()).select(*rows.columns).join(small, key, "left")
+    return placed.filter(F.col(size).isNotNull()).unionByName(rest)
+
+
 def kept_rows(docs: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of docs whose decision (keys, kept) is to stay. docs has the keys as columns; keys hold no null.
 

@@ -40,6 +40,10 @@ def uniform(seed: int) -> Column:
     return F.conv(F.substring(_key(F.lit(str(seed)), identity()), 1, 13), 16, 10).cast("long") / F.lit(UNIFORM)
 
 
+#: The highest mean number of copies of a document; a target that needs more is refused.
+MOST_COPIES = 1e6
+
+
 def rates(counts: dict[str | None, int], targets: dict[str, float], size: float) -> dict[str | None, float]:
     """The mean number of copies by source; None stands for all sources without a target, which share the weight that is left."""
     total = sum(counts.values())
@@ -60,13 +64,17 @@ def mixed(docs: DataFrame, targets: dict[str, float], size: float = 1.0, seed: i
     if any(w <= 0 for w in targets.values()) or sum(targets.values()) > 1 + 1e-9:
         raise ValueError("targets must be positive and at most 1 in sum")
     docs = docs.drop("copy_no", "mix_key")
+    # Steps of the distribution reach the tasks as a table of a row for each target, however high the rates are.
     listed = F.when(F.col("source").isin(*targets), F.col("source"))
     counts = {r[0]: r[1] for r in docs.groupBy(listed.alias("source")).count().collect()}  # a row for each target and one more
-    limits = F.array().cast("array<double>")
-    for source, rate in rates(counts, targets, size).items():
-        at = listed.isNull() if source is None else F.col("source") == source
-        limits = F.when(at, F.array(*map(F.lit, cumulative(rate)))).otherwise(limits)
-    held = docs.withColumn("_u", uniform(seed)).withColumn("_n", F.size(F.filter(limits, lambda c: c <= F.col("_u"))))
-    each = held.filter("_n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long")))).drop("_u", "_n")
+    rate = rates(counts, targets, size)
+    if max(rate.values(), default=0) > MOST_COPIES:
+        raise ValueError(f"a target needs more than {MOST_COPIES:.0f} copies of each document of its source")
+    steps = [(source, cumulative(r)) for source, r in rate.items()]
+    table = docs.sparkSession.createDataFrame(steps, "_source string, _steps array<double>")  # a row for each target and one more
+    held = docs.withColumn("_listed", listed).join(F.broadcast(table), F.col("_listed").eqNullSafe(F.col("_source")), "left")
+    held = held.withColumn("_u", uniform(seed)).withColumn("_n", F.size(F.filter(F.coalesce("_steps", F.array().cast("array<double>")), lambda c: c <= F.col("_u"))))
+    held = held.select(*docs.columns, "_n")
+    each = held.filter("_n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long")))).drop("_n")
     out = each.withColumn("mix_key", _key(F.lit(str(seed + 1)), identity(), F.col("copy_no").cast("string")))
     return out.repartition("mix_key").sortWithinPartitions("mix_key")

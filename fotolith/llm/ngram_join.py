@@ -1,23 +1,27 @@
 """Links between texts whose sets of word n-grams overlap, as a blocked sparse product of the document by n-gram incidence.
 
-Rows of the incidence are sets of equal documents (classes), columns are n-gram hashes under one order, in which n-grams that a sample
-shows often come last. Two sets that reach the similarity share a column among each one's first few (size - least overlap + 1), so the product needs
-those columns alone. Blocks are columns with the chosen partner rows (pivots) of each: first the most promising pivot of each row, then
-a growing share of a column's rows as pivots, until every pair of a column that is not yet connected has been counted or ruled out by
-bounds. The bounds are on the sizes, and on what must differ: each set has a sketch that holds the parity of its n-grams in each of
-SKETCH cells, and two sets differ in as many n-grams at least as their sketches differ in cells. The overlap of pairs within the bounds is
-counted on the whole sets. No group is ever expanded into all its pairs unless none of them link.
+Rows of the incidence are sets of equal documents (classes), columns are n-gram hashes. Two sets that reach the similarity share a column
+among each one's first few (size - least overlap + 1) under one order, in which n-grams that a sample shows often come last; entries of the
+product outside pairs of rows that share such a column aren't asked for. Pairs come from those columns block by block: first each row with the row that most of its
+columns name, then a growing share of a column's rows as partners (pivots), until every pair of a column that is not yet connected has been
+counted or ruled out by bounds. Rows of a long column meet only where they share a second one.
+
+The overlap of the pairs is summed over blocks of all columns: in each block the rows' entries are intersected and the counts are added up, and
+pairs go whose overlap can't reach the bound any more that their sizes set, whatever the rest of their columns holds. Before that, sizes alone
+and sketches rule pairs out: each set has the parity of its n-grams in each of SKETCH cells, and two sets differ in as many n-grams at least
+as their sketches differ in cells. Copies of one set are one row, so no group of them is expanded into pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bits import bitmap, passing
 from .components import components
+from .keep import with_groups
 from .scratch import Scratch, bounded_batches
 from .words import SPACED, U, Words, lists, mix, pieces, signed, text_buffer
 
@@ -28,8 +32,11 @@ BUCKETS = 1 << BUCKET_BITS
 SAMPLE, OFTEN = 4, 2
 #: Cells of a sketch.
 SKETCH = 1024
-#: The share of pivots grows by this factor from round to round.
-WIDEN = 8
+#: The share of pivots grows by this factor from round to round; columns with open pairs after LONG pivots are parted by second columns.
+WIDEN, LONG = 8, 512
+#: Blocks of columns over which overlaps are summed, by the first bits of the hash.
+BLOCK_BITS = 2
+BLOCKS = 1 << BLOCK_BITS
 
 
 def _grams(w: Words, n: int) -> list[np.ndarray]:
@@ -103,7 +110,7 @@ def _often(docs: DataFrame, n: int, scratch: Scratch) -> np.ndarray | None:
 
 
 def _prefixes(n: int, share: int, late):
-    """doc_id, text, text_hash to doc_id, text_hash, n, cls (16 bytes that tell the set), the columns that come first in the order, and the sketch."""
+    """doc_id, text, text_hash to doc_id, text_hash, n, cls (16 bytes that tell the set), the columns that come first in the order and one more, and the sketch."""
 
     def run(batches):
         late_bits = late.value
@@ -114,7 +121,7 @@ def _prefixes(n: int, share: int, late):
             for s in sets:
                 m = len(s)
                 size.append(m)
-                held.append(_ordered(s, late_bits)[: m - -(-share * m // 100) + 1])
+                held.append(_ordered(s, late_bits)[: m - -(-share * m // 100) + 2])
             bound = np.concatenate([[0], np.cumsum([len(x) for x in held])])
             names = pa.array(map(_name, sets), pa.binary())
             cells = lists(np.concatenate([_sketch(s) for s in sets]), np.arange(len(sets) + 1) * (SKETCH // 64), pa.int64())
@@ -126,13 +133,16 @@ def _prefixes(n: int, share: int, late):
 
 
 def _sets(n: int):
-    """doc_id, text to the set's name and the whole set."""
+    """doc_id, text to the set's name and its entries in each block of columns."""
+    edges = np.arange(1, BLOCKS, dtype=U) << U(64 - BLOCK_BITS)
 
     def run(batches):
         def each(w, ids):
             sets = _grams(w, n)
-            bound = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-            return pa.RecordBatch.from_arrays([pa.array(map(_name, sets), pa.binary()), lists(signed(np.concatenate(sets)), bound, pa.int64())], ["cls", "set"])
+            size = np.stack([np.diff(np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])) for s in sets]).reshape(-1)
+            bound = np.concatenate([[0], np.cumsum(size)])
+            names = pa.array(map(_name, sets), pa.binary()).take(pa.array(np.repeat(np.arange(len(sets)), BLOCKS)))
+            return pa.RecordBatch.from_arrays([names, pa.array(np.tile(np.arange(BLOCKS, dtype=np.int32), len(sets))), lists(signed(np.concatenate(sets)), bound, pa.int64())], ["cls", "block", "entries"])
 
         yield from _texts(batches, each)
 
@@ -148,22 +158,34 @@ def _within(pairs: DataFrame, told: DataFrame, share: int) -> DataFrame:
     return both.filter(f"{100 + share} * {apart} <= {100 - share} * (n_a + n_b)").select("a", "b")
 
 
+def _first_columns(n: str, share: int) -> Column:
+    """How many columns of a set of n are its first ones: n - least overlap + 1."""
+    return (F.col(n) - F.ceil(F.col(n) * share / 100) + 1).cast("int")
+
+
 def _near(a: str, b: str, share: int) -> str:
     return f"100 * least({a}, {b}) >= {share} * greatest({a}, {b})"
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, told: DataFrame, n: int, share: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of rows whose whole sets, read from the texts again, reach the similarity."""
+def _product(pairs: DataFrame, docs: DataFrame, told: DataFrame, n: int, share: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of rows whose overlap, summed over all blocks of columns, reaches the similarity. Entries are read from the texts again."""
     names = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    inside = scratch.table(told.select("row", "cls", "doc_id").join(names, "row", "left_semi"))
-    again = passing(docs, "doc_id", within=bitmap(inside, "doc_id")).mapInArrow(_sets(n), "cls binary, set array<long>")
-    sets = scratch.table(again.join(inside.select("cls", "row").hint("shuffle_hash"), "cls").select("row", "set"))
-    a = sets.select(F.col("row").alias("a"), F.col("set").alias("set_a"))
-    b = sets.select(F.col("row").alias("b"), F.col("set").alias("set_b"))
-    both = pairs.join(a, "a").join(b, "b")
-    shared = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    total = F.size("set_a").cast("long") + F.size("set_b").cast("long")
-    return scratch.table(both.filter(shared * (100 + share) >= total * share).select("a", "b"))
+    inside = scratch.table(told.select("row", "cls", "doc_id", "n").join(names, "row", "left_semi"))
+    again = passing(docs, "doc_id", within=bitmap(inside, "doc_id")).mapInArrow(_sets(n), "cls binary, block int, entries array<long>")
+    entries = scratch.table(again.join(inside.select("cls", "row").hint("shuffle_hash"), "cls").select("row", "block", "entries"))
+    a, b = (entries.select(F.col("row").alias(x), "block", F.col("entries").alias(f"in_{x}")) for x in "ab")
+    size = [inside.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("n").alias(f"left_{x}")) for x in "ab"]
+    held = pairs.select("a", "b", F.lit(0).cast("long").alias("overlap")).join(size[0], "a").join(size[1], "b")
+    by = ["a", "b", "n_a", "n_b", "overlap", "left_a", "left_b"]
+    # The first block alone rules most pairs out that the sketches let pass; the others are summed at once.
+    for blocks in ([0], [*range(1, BLOCKS)]):
+        asked = held.select(*by, F.explode(F.array(*map(F.lit, blocks))).alias("block"))
+        met = asked.join(a, ["a", "block"]).join(b, ["b", "block"])
+        sums = {"more": F.size(F.array_intersect("in_a", "in_b")), "out_a": F.size("in_a"), "out_b": F.size("in_b")}
+        counted = met.groupBy(*by).agg(*(F.sum(c.cast("long")).alias(k) for k, c in sums.items()))
+        counted = counted.select("a", "b", "n_a", "n_b", (F.col("overlap") + F.col("more")).alias("overlap"), (F.col("left_a") - F.col("out_a")).alias("left_a"), (F.col("left_b") - F.col("out_b")).alias("left_b"))
+        held = scratch.table(counted.filter(f"{100 + share} * (overlap + least(left_a, left_b)) >= {share} * (n_a + n_b)"))
+    return held.select("a", "b")
 
 
 def ngram_classes(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
@@ -182,16 +204,17 @@ def ngram_classes(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
     late = spark.sparkContext.broadcast(_often(docs, n, scratch))
     rows = docs.mapInArrow(_prefixes(n, share, late), "doc_id long, text_hash long, n long, cls binary, first array<long>, sketch array<long>")
     rows = scratch.table(rows.withColumn("row", F.monotonically_increasing_id()))
+    late.destroy()
     full = rows.filter("n > 0")
-    classes = scratch.table(full.groupBy("cls").agg(F.min("doc_id").alias("lead"), F.min("row").alias("row")))
+    classes = scratch.table(full.groupBy("cls").agg(F.min("doc_id").alias("lead"), F.min("row").alias("row"), F.count("*").alias("copies")))
     told = full.join(classes.select("row"), "row", "left_semi")
     roots = _roots(spark, scratch, docs, told, n, share)
     named = classes.select(F.col("row").alias("node"), "cls", "lead").join(roots, "node")
     least = named.groupBy("root").agg(F.min("lead").alias("least"))
     told = scratch.table(named.join(least, "root").select("cls", "root", "least"))
-    wider = classes.join(told, "cls", "left").select("cls", F.coalesce("least", "lead").alias("component_id"), F.coalesce("root", "row").alias("component"))
+    wider = classes.join(told, "cls", "left").select("cls", F.coalesce("least", "lead").alias("component_id"), F.coalesce("root", "row").alias("component"), "copies")
     kept = ["doc_id", "text_hash", F.col("n").alias("n_grams"), "component_id", "component"]
-    linked = full.select("doc_id", "text_hash", "n", "cls").join(wider, "cls").select(*kept)
+    linked = with_groups(full.select("doc_id", "text_hash", "n", "cls"), scratch.table(wider), "cls", "copies", scratch).select(*kept)
     alone = rows.filter("n = 0").withColumns({"component_id": F.col("doc_id"), "component": F.col("row")})
     return linked.unionByName(alone.select(*kept))
 
@@ -199,7 +222,7 @@ def ngram_classes(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
 def _roots(spark: SparkSession, scratch: Scratch, docs: DataFrame, lead: DataFrame, n: int, share: int) -> DataFrame:
     """(node, root) of the rows of lead, one for each class, that link with another."""
     # The entries of the product in columns that two rows share, and the first row of each column.
-    entries = lead.select("row", F.explode("first").alias("col"))
+    entries = lead.select("row", F.explode(F.slice("first", F.lit(1), _first_columns("n", share))).alias("col"))
     columns = entries.groupBy("col").agg(F.count("*").alias("m"), F.min("row").alias("b")).filter("m > 1")
     shared = scratch.table(entries.join(columns, "col").select("col", "row", "m", "b"))
     told = scratch.table(lead.select("row", "cls", "doc_id", "n", "sketch").join(shared.select("row").distinct(), "row", "left_semi"))
@@ -211,8 +234,8 @@ def _roots(spark: SparkSession, scratch: Scratch, docs: DataFrame, lead: DataFra
     votes = shared.filter("row != b").groupBy("row", "b").agg(F.count("*").alias("votes"))
     best = votes.groupBy(F.col("row").alias("a")).agg(F.max(F.struct("votes", "b")).alias("v")).select("a", "v.b")
     tested = scratch.table(_within(best, told, share))
-    links = _verified(tested, docs, told, n, share, scratch)
-    pivots = 0
+    links = _product(tested, docs, told, n, share, scratch)
+    pivots, parted = 0, False
     while True:
         roots = components(links, scratch)
         held = shared.select("col", "row", "m").filter(F.col("m") > pivots).join(roots.select(F.col("node").alias("row"), "root"), "row", "left")
@@ -222,6 +245,13 @@ def _roots(spark: SparkSession, scratch: Scratch, docs: DataFrame, lead: DataFra
         rest = scratch.table(held.join(open_, "col").join(brief, "row"))
         if rest.isEmpty():
             return roots
+        if pivots >= LONG and not parted:
+            # Two sets that reach the similarity share two of their first columns and the next, so rows of a long column meet by both.
+            second = rest.select("row", "col").join(lead.select("row", F.explode("first").alias("other")), "row").filter("col != other")
+            second = second.select("row", F.xxhash64(F.least("col", "other"), F.greatest("col", "other")).alias("col")).distinct()
+            columns = second.groupBy("col").agg(F.count("*").alias("m"), F.min("row").alias("b")).filter("m > 1")
+            shared, pivots, parted = scratch.table(second.join(columns, "col").select("col", "row", "m", "b")), 0, True
+            continue
         pivots = max(1, pivots) * WIDEN
         chance = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) * F.col("m") < F.lit(pivots * (1 << 30))
         chosen = rest.filter(chance).select("col", F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(4)))
@@ -232,4 +262,4 @@ def _roots(spark: SparkSession, scratch: Scratch, docs: DataFrame, lead: DataFra
         pairs = scratch.table(_within(near, told, share))
         if not pairs.isEmpty():
             tested = tested.unionByName(pairs)
-            links = scratch.table(links.unionByName(_verified(pairs, docs, told, n, share, scratch)))
+            links = scratch.table(links.unionByName(_product(pairs, docs, told, n, share, scratch)))

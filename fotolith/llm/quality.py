@@ -50,7 +50,7 @@ def _features(w: Words, dimensions: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _rows(dimensions: int):
-    """doc_id-like first column, label, text to label, features, shares."""
+    """label, text, doc_id to label, features, shares, doc_id."""
 
     def run(batches):
         for batch in batches:
@@ -58,9 +58,8 @@ def _rows(dimensions: int):
             for a, b, x, y in pieces(data, offsets):
                 rows = _features(Words(x, y, KINDS, False), dimensions)
                 bound = np.concatenate([[0], np.cumsum([len(i) for i, _ in rows])])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), lists(np.concatenate([i for i, _ in rows]), bound, pa.int32()), lists(np.concatenate([v for _, v in rows]), bound, pa.float32())], ["label", "features", "shares"]
-                )
+                columns = [lists(np.concatenate([i for i, _ in rows]), bound, pa.int32()), lists(np.concatenate([v for _, v in rows]), bound, pa.float32())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns, batch.column(2).slice(a, b - a)], ["label", "features", "shares", "doc_id"])
 
     return run
 
@@ -88,15 +87,17 @@ def follow_leader(rows, dimensions: int, epochs: int = 4, alpha: float = 0.5, be
 def train(docs: DataFrame, labels: DataFrame, dimensions: int = DIMENSIONS, rows: int = TRAIN_ROWS) -> np.ndarray:
     """Weights learnt from the rows of docs (doc_id, text) that labels (doc_id, label) covers with 0 or 1.
 
-    At most `rows` labels are used, those whose doc_id has the least hash. Without any, all weights are 0.
+    At most `rows` labels are used, those whose doc_id has the least hash. Of rows that tie in doc_id the least text is learnt, of several labels of a
+    doc_id the largest. Null doc_ids are not learnt, null texts count as empty. Without any row, all weights are 0.
     """
     bounded_batches(docs.sparkSession)
     some = labels.filter("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # a bounded table, so it may be broadcast
-    held = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", "text")
-    got = held.mapInArrow(_rows(dimensions), "label int, features array<int>, shares array<float>").toArrow()
-    got = sorted(zip(got["label"].to_pylist(), got["features"], got["shares"], strict=True), key=lambda r: (r[0], len(r[1])))
-    return follow_leader([(y, i.values.to_numpy(), v.values.to_numpy()) for y, i, v in got], dimensions)
+    held = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
+    got = held.select("label", "text", "doc_id").mapInArrow(_rows(dimensions), "label int, features array<int>, shares array<float>, doc_id long").toArrow()
+    # One order whatever the partitions, so that the same rows give the same weights.
+    got = sorted(zip(got["doc_id"].to_pylist(), got["label"].to_pylist(), got["features"], got["shares"], strict=True), key=lambda r: r[0])
+    return follow_leader([(y, i.values.to_numpy(), v.values.to_numpy()) for _, y, i, v in got], dimensions)
 
 
 def _score(weights, text_at: int, names: list[str]):
@@ -115,7 +116,7 @@ def _score(weights, text_at: int, names: list[str]):
 
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """docs with a column `score`, 0 to 1: how likely label 1 is. It depends on the text alone; null counts as empty, and texts without
-    words have one score. A column named score is replaced."""
+    words have one score. Rows that tie or repeat are scored alike; a column named score is replaced; no rows give no rows."""
     bounded_batches(docs.sparkSession)
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(weights)

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one only where the setting is unset, as in tests."""
+    """The shared folder of the session; a local one only where the setting is unset and the executors are on this machine, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="fotolith-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -31,10 +33,10 @@ class Scratch:
         self.n += 1
         return f"{self.base}/t{self.n}"
 
-    def table(self, df: DataFrame, **options: str) -> DataFrame:
-        """Writes df and reads it again; the result's `_at` is its place, for drop()."""
+    def table(self, df: DataFrame, partitions: list[str] | None = None) -> DataFrame:
+        """Writes df, by folders of the columns in partitions, and reads it again; the result's `_at` is its place, for drop()."""
         at = self.path()
-        df.write.options(**{"compression": "zstd", **options}).parquet(at)
+        df.write.option("compression", "lz4_raw").parquet(at, partitionBy=partitions)
         back = self.spark.read.schema(df.schema).parquet(at)
         back._at = at
         return back
@@ -57,7 +59,12 @@ class Scratch:
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 4096) -> None:
-    """Bounds the rows of an Arrow batch; Spark bounds its bytes (maxBytesPerBatch). A setting of the user stays."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes and rows of an Arrow batch at most, whichever operator runs.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the bytes and rows of Arrow batches, the same for all operators; a setting of the user stays."""
+    for name, standard, bound in (("maxBytesPerBatch", "67108864b", BATCH_BYTES), ("maxRecordsPerBatch", "10000", BATCH_ROWS)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == standard:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(bound))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_matches
 from .exact_dedup import exact_duplicates, normalised
-from .keep import kept_rows
+from .keep import kept_rows, with_groups
 from .mixing import mixed
 from .ngram_join import ngram_classes
 from .quality import scored, train
+from .scratch import Scratch
 
 #: Documents below this score go.
 LEAST_QUALITY = 0.5
@@ -44,8 +45,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked texts the row with the least doc_id stays."""
     rows = ngram_classes(docs.select("doc_id", "text"), n=5, share=80)
     rows = rows.select(_present().alias("_o"), F.col("text_hash").alias("_h"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash").alias("order"), "component")
-    first = rows.groupBy("component").agg(F.min("order").alias("first"))
-    told = rows.join(first, "component").select("_o", "_h", (F.col("order") == F.col("first")).alias("kept"))
+    scratch = Scratch(spark, "near")
+    rows = scratch.table(rows)
+    first = scratch.table(rows.groupBy("component").agg(F.min("order").alias("first"), F.count("*").alias("rows")))
+    told = with_groups(rows, first, "component", "rows", scratch).select("_o", "_h", (F.col("order") == F.col("first")).alias("kept"))
     keyed = docs.withColumns({"_o": _present(), "_h": F.xxhash64("text")})
     return kept_rows(keyed, told, ["_o", "_h"]).select(*docs.columns)
 
