@@ -20,7 +20,7 @@ from .scratch import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of level 0 that one batch is flushed as, and how many runs of a level are merged into one of the next.
-RUNS, FANOUT = 8, 4
+RUNS, FANOUT = 4, 4
 
 
 def normalised(text: Column) -> Column:
@@ -89,7 +89,7 @@ class DigestIndex:
     def compact(self) -> Run:
         """Merges all runs of all levels into one."""
         runs = self.runs()
-        if len(runs) > 1 or self.levels[0]:
+        if len(runs) > 1:
             self.levels = [*([] for _ in self.levels), runs]
             self._merge(len(self.levels) - 1, runs)
         return self.runs()[0]

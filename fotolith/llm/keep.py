@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bits import bitmap, marked
+from .bits import bitmap, bits_for, marked
 from .scratch import Scratch
 
 
@@ -34,7 +34,8 @@ def kept_rows(docs: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFra
     scratch = Scratch(docs.sparkSession, "kept")
     gone = decisions.groupBy(*keys).agg(F.max("kept").alias("_stays"), F.count("*").alias("_rows")).filter("NOT _stays OR _rows > 1")
     gone = scratch.table(gone.select(*keys, "_stays"))
-    told = marked(docs, *keys, within=bitmap(gone, *keys))
+    bits = bits_for(gone.count())
+    told = marked(docs, *keys, within=bitmap(gone, *keys, bits=bits), bits=bits)
     asked = told.filter("_in").drop("_in").join(gone.hint("shuffle_hash"), keys, "left").select(*docs.columns, "_stays")
     out = told.filter("NOT _in").drop("_in").unionByName(asked.filter("_stays IS NULL").drop("_stays"))
     if gone.filter("_stays").isEmpty():

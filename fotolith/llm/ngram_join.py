@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bits import bitmap, passing
+from .bits import bitmap, bits_for, passing
 from .components import components
 from .keep import with_groups
 from .scratch import Scratch, bounded_batches
@@ -28,12 +28,12 @@ from .words import SPACED, U, Words, lists, mix, pieces, signed, text_buffer
 #: A table of so many buckets of n-grams tells which come late in the order: 16 MB of bits whatever the input.
 BUCKET_BITS = 27
 BUCKETS = 1 << BUCKET_BITS
-#: The order is fitted on each SAMPLE-th document by hash; n-grams found OFTEN times there come last. It changes speed, never results.
-SAMPLE, OFTEN = 4, 2
+#: N-grams of so many documents come last in the order. It changes speed, never results.
+OFTEN = 2
 #: Cells of a sketch.
 SKETCH = 1024
 #: The share of pivots grows by this factor from round to round; columns with open pairs after LONG pivots are parted by second columns.
-WIDEN, LONG = 8, 512
+WIDEN, LONG = 64, 64
 #: Blocks of columns over which overlaps are summed, by the first bits of the hash.
 BLOCK_BITS = 2
 BLOCKS = 1 << BLOCK_BITS
@@ -96,9 +96,8 @@ def _buckets(n: int):
 
 
 def _often(docs: DataFrame, n: int, scratch: Scratch) -> np.ndarray | None:
-    """One bit for each bucket of n-grams that the sample holds OFTEN times."""
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
-    counts = sample.mapInArrow(_buckets(n), "bucket int").groupBy("bucket").count()
+    """One bit for each bucket of n-grams that OFTEN documents hold."""
+    counts = docs.select("text").mapInArrow(_buckets(n), "bucket int").groupBy("bucket").count()
     counts = scratch.table(counts)
     many = OFTEN + 2 * (counts.agg(F.sum("count")).first()[0] or 0) // BUCKETS  # more than chance puts into a bucket
     counts = counts.filter(F.col("count") >= many)
@@ -171,7 +170,8 @@ def _product(pairs: DataFrame, docs: DataFrame, told: DataFrame, n: int, share:
     """The pairs (a, b) of rows whose overlap, summed over all blocks of columns, reaches the similarity. Entries are read from the texts again."""
     names = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
     inside = scratch.table(told.select("row", "cls", "doc_id", "n").join(names, "row", "left_semi"))
-    again = passing(docs, "doc_id", within=bitmap(inside, "doc_id")).mapInArrow(_sets(n), "cls binary, block int, entries array<long>")
+    bits = bits_for(inside.count())
+    again = passing(docs, "doc_id", within=bitmap(inside, "doc_id", bits=bits), bits=bits).mapInArrow(_sets(n), "cls binary, block int, entries array<long>")
     entries = scratch.table(again.join(inside.select("cls", "row").hint("shuffle_hash"), "cls").select("row", "block", "entries"))
     a, b = (entries.select(F.col("row").alias(x), "block", F.col("entries").alias(f"in_{x}")) for x in "ab")
     size = [inside.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("n").alias(f"left_{x}")) for x in "ab"]

@@ -65,19 +65,24 @@ def _rows(dimensions: int):
 
 
 def follow_leader(rows, dimensions: int, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.001, l2: float = 0.01) -> np.ndarray:
-    """Weights after FTRL-proximal updates over rows of (label, features, shares); the bias is the last weight."""
+    """Weights after FTRL-proximal updates over sparse rows; the bias is the last weight.
+
+    rows: labels, features and shares of all rows one after the other, the n + 1 bounds of rows in them, and the order of rows.
+    """
     z, n = np.zeros(dimensions + 1), np.zeros(dimensions + 1)
 
     def weights(i):
         small = np.abs(z[i]) <= l1
         return np.where(small, 0.0, -(z[i] - np.sign(z[i]) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2))
 
-    rows = [(y, np.append(i, dimensions), np.append(v.astype(float), 1.0)) for y, i, v in rows]
+    labels, features, shares, bound, order = rows
     for epoch in range(epochs):
-        for k in np.random.default_rng(epoch).permutation(len(rows)):
-            y, i, v = rows[k]
+        for k in np.random.default_rng(epoch).permutation(len(order)):
+            k = order[k]
+            i = np.append(features[bound[k] : bound[k + 1]], dimensions)
+            v = np.append(shares[bound[k] : bound[k + 1]].astype(float), 1.0)
             w = weights(i)
-            g = (1 / (1 + np.exp(-np.clip(w @ v, -35, 35))) - y) * v
+            g = (1 / (1 + np.exp(-np.clip(w @ v, -35, 35))) - labels[k]) * v
             step = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
             z[i] += g - step * w
             n[i] += g * g
@@ -95,9 +100,13 @@ def train(docs: DataFrame, labels: DataFrame, dimensions: int = DIMENSIONS, rows
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # a bounded table, so it may be broadcast
     held = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
     got = held.select("label", "text", "doc_id").mapInArrow(_rows(dimensions), "label int, features array<int>, shares array<float>, doc_id long").toArrow()
-    # One order whatever the partitions, so that the same rows give the same weights.
-    got = sorted(zip(got["doc_id"].to_pylist(), got["label"].to_pylist(), got["features"], got["shares"], strict=True), key=lambda r: r[0])
-    return follow_leader([(y, i.values.to_numpy(), v.values.to_numpy()) for _, y, i, v in got], dimensions)
+    got = got.combine_chunks()
+    held = {c: got[c].chunk(0) if got.num_rows else pa.array([], got.schema.field(c).type) for c in got.column_names}
+    bound = np.asarray(held["features"].offsets, np.int64)
+    # One order whatever the partitions, so that the same rows give the same weights. Arrow's buffers are used as they are.
+    order = np.argsort(held["doc_id"].to_numpy(zero_copy_only=False), kind="stable")
+    flat = [held[c].values.to_numpy() for c in ("features", "shares")]
+    return follow_leader((held["label"].to_numpy(zero_copy_only=False), *flat, bound, order), dimensions)
 
 
 def _score(weights, text_at: int, names: list[str]):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bits import bitmap, marked, passing
+from .bits import bitmap, bits_for, marked, passing
 from .scratch import Scratch, bounded_batches
 from .words import SPACED, U, Words, lists, mix, pieces, signed, text_buffer
 
@@ -217,7 +217,8 @@ def repeated_passages(docs: DataFrame, size: int = 20) -> DataFrame:
     copies = scratch.table(told.filter(F.struct(*KEY) != F.col("lead")).select(*KEY).distinct())
     level = scratch.table(_repeated(long.join(copies, KEY, "left_anti")))
     for step, schema in ((_next_level, "o long, th long, anchors array<long>"), (_last_level, "o long, th long, place long, left long, h long")):
-        texts = passing(docs, *KEY, within=bitmap(level, *KEY)).join(level.hint("shuffle_hash"), KEY)
+        bits = bits_for(level.count())
+        texts = passing(docs, *KEY, within=bitmap(level, *KEY, bits=bits), bits=bits).join(level.hint("shuffle_hash"), KEY)
         rows = scratch.table(texts.select(*KEY, "text", "repeated").mapInArrow(step(size), schema))
         level = scratch.table(_repeated(rows)) if step is _next_level else rows
     place = F.struct(*KEY, "place")
@@ -225,7 +226,8 @@ def repeated_passages(docs: DataFrame, size: int = 20) -> DataFrame:
     later = level.join(first, ["left", "h"]).filter(place != F.col("first"))
     gone = later.groupBy(*KEY).agg(F.collect_set("place").alias("gone")).withColumn("every", F.lit(False))
     gone = scratch.table(gone.unionByName(copies.select(*KEY, F.array().cast("array<long>").alias("gone"), F.lit(True).alias("every"))))
-    told = marked(docs, *KEY, within=bitmap(gone, *KEY))
+    bits = bits_for(gone.count())
+    told = marked(docs, *KEY, within=bitmap(gone, *KEY, bits=bits), bits=bits)
     none = [F.array().cast("array<long>").alias("gone"), F.lit(False).alias("every")]
     some = told.filter("_in").join(gone.hint("shuffle_hash"), KEY, "left")
     some = some.select("doc_id", *KEY, "text", F.coalesce("gone", none[0]).alias("gone"), F.coalesce("every", none[1]).alias("every"))
