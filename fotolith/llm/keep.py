@@ -13,7 +13,7 @@ from .scratch import Scratch
 HOT = 1e-5
 
 
-def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, scratch: Scratch) -> DataFrame:
+def with_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, scratch: Scratch) -> DataFrame:
     """rows with the columns of groups, which has one row for each key and its number of rows (size); null where a key has no group.
 
     The largest groups are joined where their rows are read, so that no task gets a whole one; groups must be a written table.

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bits import bitmap, bits_for, marked, passing
+from .keep import with_groups
 from .scratch import Scratch, bounded_batches
 from .words import SPACED, U, Words, lists, mix, pieces, signed, text_buffer
 
@@ -212,8 +213,8 @@ def repeated_passages(docs: DataFrame, size: int = 20) -> DataFrame:
     # Of texts with one sequence of words the earliest is searched; the others repeat it as a whole.
     long = found.filter(F.col("n_words") >= size)
     groups = long.groupBy("s1", "s2").agg(F.min(F.struct(*KEY)).alias("lead"), F.count("*").alias("rows"))
-    many = scratch.table(groups.filter("rows > 1").select("s1", "s2", "lead"))
-    told = long.select(*KEY, "s1", "s2").join(many, ["s1", "s2"])
+    many = scratch.table(groups.filter("rows > 1"))
+    told = with_groups(long.select(*KEY, "s1", "s2"), many, ["s1", "s2"], "rows", scratch)
     copies = scratch.table(told.filter(F.struct(*KEY) != F.col("lead")).select(*KEY).distinct())
     level = scratch.table(_repeated(long.join(copies, KEY, "left_anti")))
     for step, schema in ((_next_level, "o long, th long, anchors array<long>"), (_last_level, "o long, th long, place long, left long, h long")):
@@ -222,8 +223,8 @@ def repeated_passages(docs: DataFrame, size: int = 20) -> DataFrame:
         rows = scratch.table(texts.select(*KEY, "text", "repeated").mapInArrow(step(size), schema))
         level = scratch.table(_repeated(rows)) if step is _next_level else rows
     place = F.struct(*KEY, "place")
-    first = level.groupBy("left", "h").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1")
-    later = level.join(first, ["left", "h"]).filter(place != F.col("first"))
+    first = scratch.table(level.groupBy("left", "h").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1"))
+    later = with_groups(level, first, ["left", "h"], "times", scratch).filter(place != F.col("first"))
     gone = later.groupBy(*KEY).agg(F.collect_set("place").alias("gone")).withColumn("every", F.lit(False))
     gone = scratch.table(gone.unionByName(copies.select(*KEY, F.array().cast("array<long>").alias("gone"), F.lit(True).alias("every"))))
     bits = bits_for(gone.count())
