@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 # Fixed values of FNV-1a, 64 bits: the offset basis and the prime.
 OFFSET = 0xCBF29CE484222325
@@ -46,6 +52,33 @@ def fingerprint(content: Column, size: Column) -> Column:
     return fnv1a(ends)
 
 
+def _fnv_rows(parts: list[bytes]) -> np.ndarray:
+    """FNV-1a of many byte strings side by side: one step for each place of the longest, over the strings that reach it."""
+    length = np.array([len(p) for p in parts])
+    order = np.argsort(-length, kind="stable")
+    out = np.full(len(parts), OFFSET, np.uint64)
+    data = np.frombuffer(b"".join(parts[i] for i in order), np.uint8).astype(np.uint64)
+    start = np.cumsum(length[order]) - length[order]
+    reach = np.searchsorted(-length[order], -np.arange(length.max(initial=0)), "left")  # strings longer than each place
+    for k, n in enumerate(reach):
+        out[:n] = (out[:n] ^ data[start[:n] + k]) * np.uint64((1 << 40) + PRIME_LOW)
+    back = np.empty_like(out)
+    back[order] = out
+    return back.view(np.int64)
+
+
+@pandas_udf(LongType())
+def _ends_hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for ends in batches:
+        yield pd.Series([], dtype="int64") if not len(ends) else pd.Series(_fnv_rows([bytes(x) if x is not None else b"" for x in ends]))
+
+
+def file_fingerprint(content: Column, size: Column) -> Column:
+    """The same as fingerprint, for whole files: both ends are cut in the JVM and hashed by batches of files, byte place by byte place."""
+    tail = F.greatest(F.lit(SPAN).cast("long"), size - SPAN)
+    return _ends_hashed(F.concat(little_endian(size), F.substring(content, 1, SPAN), F.substring(content, (tail + 1).cast("int"), F.lit(SPAN))))
+
+
 def source_id(size: Column, modified_ns: Column, print_: Column) -> Column:
     """Hash of size, time (16 bytes) and fingerprint; the path isn't in it, so it follows a moved file."""
     return fnv1a(F.concat(little_endian(size), little_endian(modified_ns, 16), little_endian(print_)))

@@ -41,6 +41,12 @@ class Catalogue:
         held = self.library.photos().join(files, F.col("id") == F.col("photo_id")).drop("photo_id").join(edits, "id", "left")
         return held.withColumn("edited", F.col("edited_at_ms").isNotNull())
 
+    def once(self) -> DataFrame:
+        """Photos that have a present file, once however many they have, with their edits: what counts need."""
+        files = self.library.files().filter("NOT missing").select(F.col("photo_id").alias("id"))
+        edits = self.library.edits().select(F.col("photo_id").alias("id"), F.col("updated_at_ms").alias("edited_at_ms"))
+        return self.library.photos().join(files, "id", "left_semi").join(edits, "id", "left").withColumn("edited", F.col("edited_at_ms").isNotNull())
+
     def entries(self, rows: DataFrame, order: Sequence[Column] | None = None) -> DataFrame:
         """The columns of a listing: details only where they were read, gps only with both coordinates; by capture, unknown last."""
         read = F.col("metadata_version") > 0
@@ -56,7 +62,11 @@ class Catalogue:
 
     def counts(self, now: int) -> DataFrame:
         """The sizes of all collections in one pass; photos count once however many files they have."""
-        return self.present().agg(*(F.count_distinct(F.when(where(now), F.col("id"))).alias(f"n_{kind}") for kind, where in COLLECTIONS.items()))
+        return self.once().agg(*(F.count_if(where(now)).alias(f"n_{kind}") for kind, where in COLLECTIONS.items()))
+
+    def _names(self) -> DataFrame | None:
+        """The keyword names, where the library keeps them apart from the links."""
+        return self.library.keywords() if hasattr(self.library, "keywords") else None
 
     def searchable(self) -> DataFrame:
         roots = self.library.folders().select(F.col("id").alias("folder_id"), F.col("path").alias("root"))
@@ -66,7 +76,7 @@ class Catalogue:
         """Present photos that match every word; none for a query without words."""
         found = terms(query)
         rows = self.searchable()
-        return self.entries(matching(rows, found, self.library.photo_keywords()) if found else rows.limit(0))
+        return self.entries(matching(rows, found, self.library.photo_keywords(), self._names()) if found else rows.limit(0))
 
     def matching(self, rules: Rules) -> DataFrame:
         return self.entries(self._ruled(rules))
@@ -75,7 +85,7 @@ class Catalogue:
         rows = self.searchable().filter(rules.predicate())
         found = terms(rules.words)
         if found:
-            rows = matching(rows, found, self.library.photo_keywords())
+            rows = matching(rows, found, self.library.photo_keywords(), self._names())
         if rules.keyword and rules.keyword.strip():
             named = self.library.photo_keywords().filter(ascii_lower(F.col("name")) == ascii_lower(F.lit(rules.keyword.strip())))
             rows = rows.join(named.select(F.col("photo_id").alias("id")), "id", "left_semi")
@@ -86,7 +96,7 @@ class Catalogue:
         plain = {k: r for k, r in stored.items() if not r.words and not r.keyword}
         out = None
         if plain:
-            one = self.present().agg(*(F.count_distinct(F.when(r.predicate(), F.col("id"))).alias(k) for k, r in plain.items()))
+            one = self.once().agg(*(F.count_if(r.predicate()).alias(k) for k, r in plain.items()))
             out = one.selectExpr(f"stack({len(plain)}, {', '.join(f"'{k}', `{k}`" for k in plain)}) AS (name, n)")
         for k, r in stored.items():
             if k not in plain:
@@ -130,6 +140,47 @@ class Catalogue:
         rows = self.present().join(tagged, "id", "left")
         return self.entries(rows.filter("rating > 0 OR flag <> 0 OR label <> 0 OR tagged"))
 
+    # Single photos and folders; each is a filter, so that Spark reads only what it needs.
+
+    def photo_at(self, path: str) -> DataFrame:
+        """The photo (id) whose file is at a path, and whether the file is missing."""
+        return self.library.files().filter(F.col("path") == path).select(F.col("photo_id").alias("id"), "missing")
+
+    def marks(self, photos: DataFrame) -> DataFrame:
+        """Marks of the photos (id)."""
+        return self.library.photos().select("id", "rating", "flag", "label").join(photos.select("id").distinct(), "id", "left_semi")
+
+    def marks_in(self, folder: str) -> DataFrame:
+        """path, rating, flag and label of files of one folder whose photo has a mark."""
+        marked = self.library.photos().filter("rating > 0 OR flag <> 0 OR label <> 0").select(F.col("id").alias("photo_id"), "rating", "flag", "label")
+        return self.files_in(folder, False).select("photo_id", "path").join(marked, "photo_id").drop("photo_id")
+
+    def details(self, photos: DataFrame) -> DataFrame:
+        """Details of the photos (id) whose files were read."""
+        return self._details(self.library.photos().join(photos.select("id").distinct(), "id", "left_semi"), "id")
+
+    def details_in(self, folder: str) -> DataFrame:
+        """path and details of files of one folder that were read."""
+        files = self.files_in(folder, False).select(F.col("photo_id").alias("id"), "path")
+        return self._details(self.library.photos().join(files, "id"), "path")
+
+    def _details(self, rows: DataFrame, key: str) -> DataFrame:
+        shown = [F.col(c).cast("double").alias(c) if c in NUMBERS else F.col(c) for c in DETAILS]
+        both = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+        return rows.filter("metadata_version > 0").select(key, *shown, *(F.when(both, F.col(c)).alias(c) for c in ("latitude", "longitude")))
+
+    def edits_of(self, photos: DataFrame) -> DataFrame:
+        """The saved edits of the photos (id)."""
+        return self.library.edits().join(photos.select(F.col("id").alias("photo_id")).distinct(), "photo_id", "left_semi")
+
+    def edits_in(self, folder: str, recursive: bool) -> DataFrame:
+        """path and saved edit of present files of a folder."""
+        return self.files_in(folder, recursive).filter("NOT missing").select("photo_id", "path").join(self.library.edits(), "photo_id").drop("photo_id")
+
+    def texts(self, photos: DataFrame) -> DataFrame:
+        """id, title and caption of the photos (id); null for those that aren't known."""
+        return photos.select("id").distinct().join(self.library.photos().select("id", "title", "caption"), "id", "left")
+
     def files_in(self, folder: str, recursive: bool) -> DataFrame:
         """Files of a folder, or of all below it; the path is taken literally."""
         folder = folder.rstrip("/\\")
@@ -152,16 +203,16 @@ class Catalogue:
         rows = self.library.photos().filter("metadata_version < 1").select("id").join(files, F.col("id") == F.col("photo_id"))
         return rows.select("id", "path").orderBy("id").limit(limit)
 
-    def within(self, roots: DataFrame) -> DataFrame:
-        """Files under a granted root (root), with the deepest of those; paths that step up are refused.
+    def within(self, roots: Sequence[str]) -> DataFrame:
+        """Files under a granted root, with the deepest of those; paths that step up are refused.
 
-        Roots are a short list that a user granted; each file asks only its own ancestor folders, so the join is by equality.
+        Roots are a short list that a user granted, so they are told by expressions on each file; nothing is joined or dealt out.
         """
+        root = F.lit(None).cast("string")
+        for r in sorted({r.rstrip("/\\") for r in roots}, key=len):
+            root = F.when((F.col("path") == r) | F.col("path").startswith(r + "/"), r).otherwise(root)
         files = self.library.files().select("id", "path").filter(~F.col("path").rlike(r"(^|/)\.\.(/|$)"))
-        parts = F.split("path", "/")
-        above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-        asked = files.select("id", "path", F.explode(above).alias("root"))
-        return asked.join(roots.select("root").distinct(), "root").groupBy("id", "path").agg(F.max_by("root", F.length("root")).alias("root"))
+        return files.withColumn("root", root).filter("root IS NOT NULL")
 
     def neighbours(self, rows: DataFrame) -> DataFrame:
         """Each row's neighbours in the listing of its folder, by capture and path."""

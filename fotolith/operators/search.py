@@ -54,27 +54,52 @@ def below_library(path: Column, root: Column) -> Column:
     return F.substr(path, F.length(F.regexp_replace(root, r"[^/\\]+$", "")) + 1)
 
 
-def matching(rows: DataFrame, found: list[Term], links: DataFrame) -> DataFrame:
+#: Parts the fields of a photo where they are searched as one text; no word holds it.
+BETWEEN = "\x00"
+#: Up to so many keyword names that match are asked for by name; more are told by the words again.
+MOST_NAMES = 1000
+
+
+def folded(c: Column) -> Column:
+    """Lower case for A-Z alone, by the fast way where a text is ASCII."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(ascii_lower(c))
+
+
+def matching(rows: DataFrame, found: list[Term], links: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """The rows (id, captured_at and FIELDS) that match every term; links holds photo_id and keyword name.
 
-    All words that keywords may answer are asked of the links in one pass: each photo gets the set of words that its keywords hold.
+    A row's fields are folded once, as one text. names, the keyword names (name), are searched before any link is read: without a match no link is,
+    else each photo gets the set of words that its keywords hold.
     """
     asked = sorted({t.word for t in found if t.kind != "date"})
+    by_keyword: list[str] = []
     if asked:
-        words = [F.max(ascii_lower(F.col("name")).contains(w)).alias(f"k{i}") for i, w in enumerate(asked)]
+        lowered = folded(F.col("name"))
         some = F.lit(False)
         for w in asked:
-            some = some | ascii_lower(F.col("name")).contains(w)
-        rows = rows.join(links.filter(some).groupBy(F.col("photo_id").alias("id")).agg(*words), "id", "left")
+            some = some | lowered.contains(w)
+        hits = None if names is None else [r.name for r in names.filter(some).select("name").distinct().limit(MOST_NAMES + 1).collect()]
+        if hits is None or len(hits) > MOST_NAMES:
+            by_keyword, links = asked, links.filter(some)
+        elif hits:
+            by_keyword, links = [w for w in asked if any(w in _lower(n) for n in hits)], links.filter(F.col("name").isin(hits))
+        if by_keyword:
+            words = [F.max(lowered.contains(w)).alias(f"k{asked.index(w)}") for w in by_keyword]
+            rows = rows.join(links.groupBy(F.col("photo_id").alias("id")).agg(*words), "id", "left")
+    rows = rows.withColumn("_text", folded(F.concat_ws(BETWEEN, *FIELDS)))
     where = F.lit(True)
     for t in found:
         if t.kind == "date":
             where = where & F.col("captured_at").startswith(t.value)
             continue
-        hit = F.coalesce(F.col(f"k{asked.index(t.word)}"), F.lit(False))
-        for c in FIELDS:
-            hit = hit | F.coalesce(ascii_lower(F.col(c)).contains(t.word), F.lit(False))
+        hit = F.col("_text").contains(t.word)
+        if t.word in by_keyword:
+            hit = hit | F.coalesce(F.col(f"k{asked.index(t.word)}"), F.lit(False))
         if t.kind in PARTS:
             hit = hit | F.coalesce(F.substring("captured_at", *PARTS[t.kind]) == t.value, F.lit(False))
         where = where & hit
-    return rows.filter(where).drop(*(f"k{i}" for i in range(len(asked))))
+    return rows.filter(where).drop("_text", *(f"k{asked.index(w)}" for w in by_keyword))
+
+
+def _lower(name: str) -> str:
+    return name.translate({c: c + 32 for c in range(65, 91)})

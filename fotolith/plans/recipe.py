@@ -36,7 +36,7 @@ SCHEMA = T.StructType(
 )
 
 
-def _bound(value: Column, f) -> Column:
+def bound(value: Column, f) -> Column:
     """f of a value that is worked out once: expressions would repeat it at every use."""
     return F.element_at(F.transform(F.array(value), f), 1)
 
@@ -66,7 +66,7 @@ def _sane(c: Column, low: float, high: float, default: float) -> Column:
 
 def sanitised(r: Column) -> Column:
     """Every slider in its range, defaults where a value is missing or no number, and empty settings left out."""
-    return _bound(r, _sanitised)
+    return bound(r, _sanitised)
 
 
 def _sanitised(r: Column) -> Column:
@@ -95,7 +95,7 @@ def _marked(now: Column, read: Column) -> Column:
         fringes = r["profileWithoutChromaticAberration"] | ((read < 32) & profile & edits)
         return _put(r, profileCorrections=profile, unoriented=r["unoriented"] | ((read < 30) & edits), profileWithoutChromaticAberration=fringes)
 
-    return _bound(_bound(now, lambda r: F.struct(r.alias("r"), is_identity(r).alias("plain"))), put)
+    return bound(bound(now, lambda r: F.struct(r.alias("r"), is_identity(r).alias("plain"))), put)
 
 
 def parsed(json: Column) -> Column:
@@ -105,7 +105,7 @@ def parsed(json: Column) -> Column:
         read = F.coalesce(raw["version"], F.lit(VERSION))
         return F.when(read <= VERSION, _marked(sanitised(_migrated(raw, read)), read))
 
-    return F.when(json.rlike(r"^\s*\{"), _bound(F.from_json(json, SCHEMA, {"mode": "PERMISSIVE"}), steps))
+    return F.when(json.rlike(r"^\s*\{"), bound(F.from_json(json, SCHEMA, {"mode": "PERMISSIVE"}), steps))
 
 
 def state(json: Column) -> Column:
@@ -117,7 +117,7 @@ def state(json: Column) -> Column:
 def pasted(target: Column, source: Column, groups: list[str]) -> Column:
     """target with the settings of the groups named from source; what source lacks goes. Unknown groups are ignored."""
     taken = {f for g in groups for f in GROUPS.get(g, ())}
-    return _bound(F.struct(target.alias("t"), source.alias("s")), lambda x: _sanitised(_put(x["t"], **{f: x["s"][f] for f in taken})))
+    return bound(F.struct(target.alias("t"), source.alias("s")), lambda x: _sanitised(_put(x["t"], **{f: x["s"][f] for f in taken})))
 
 
 def with_look_of(target: Column, preset: Column) -> Column:
@@ -127,7 +127,7 @@ def with_look_of(target: Column, preset: Column) -> Column:
 
 def look_only(r: Column) -> Column:
     """A recipe as a preset keeps it: without what is drawn for one photo."""
-    return _bound(r, lambda x: _sanitised(_put(x, **{f: F.lit(None).cast(SCHEMA[f].dataType) for g in ("geometry", "masks", "retouch") for f in GROUPS[g]})))
+    return bound(r, lambda x: _sanitised(_put(x, **{f: F.lit(None).cast(SCHEMA[f].dataType) for g in ("geometry", "masks", "retouch") for f in GROUPS[g]})))
 
 
 def to_json(r: Column) -> Column:

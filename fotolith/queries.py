@@ -2,37 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as O
 from .adapters import NOW_MS, Library
 from .functions import text as X
-from .functions.fingerprint import fnv1a
+from .functions.fingerprint import file_fingerprint, fnv1a, source_id
 from .operators import changes, index, retention
 from .operators.catalogue import DETAILS, NUMBERS, RECENT_MS, Catalogue, Rules
 from .operators.order import running
 from .operators.search import FIELDS, PARTS, terms
 from .plans import pixels as P
 from .plans import recipe as R
+from .registry import ORACLE, QUERIES, query  # noqa: F401
+from .sources import files
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 CUTOFF = NOW_MS - RECENT_MS
 
-
-def query(name: str, sql: str | None = None):
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return put
-
-
 # Catalogue: listings, collections, search, rules.
 
 _ENTRY = ("p.id, f.path, f.size, f.modified_ns, p.rating, p.flag, p.label, e.photo_id IS NOT NULL AS edited, "
@@ -170,7 +157,7 @@ def camera_names(s, d):
 
 @query("access_scope", O.with_tables(O.FILES, body="SELECT id, path, CASE WHEN starts_with(path, '/lib/Photos/1995/') THEN '/lib/Photos/1995' WHEN starts_with(path, '/lib/Photos/') THEN '/lib/Photos' END AS root FROM files WHERE starts_with(path, '/lib/Photos/')"))
 def access_scope(s, d):
-    return Catalogue(Library(s, d)).within(s.createDataFrame([("/lib/Photos",), ("/lib/Photos/1995",), ("/lib/Photo",)], "root string"))
+    return Catalogue(Library(s, d)).within(["/lib/Photos", "/lib/Photos/1995", "/lib/Photo"])
 
 
 @query("photo_neighbours", O.with_tables(O.PHOTOS, O.FILES, body="""SELECT p.id, f.dir, coalesce(lag(p.id) OVER w, -1) AS before, coalesce(lead(p.id) OVER w, -1) AS after FROM photos p JOIN files f ON f.photo_id = p.id WHERE NOT f.missing WINDOW w AS (PARTITION BY f.dir ORDER BY p.captured_at NULLS LAST, f.path)"""))
@@ -358,7 +345,56 @@ def scene_ev(s, d):
     return Library(s, d).photos().select("id", F.round(X.scene_ev(F.col("iso"), F.col("aperture"), F.col("shutter")), 6).alias("ev"))
 
 
-@query("fnv_fingerprint")
+def _fnv_sql(hexed: str) -> str:
+    """FNV-1a of bytes written as hexadecimal digits, as a signed value."""
+    steps = f"list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, length({hexed}) // 2 + 1), lambda i: ('0x' || substr({hexed}, 2 * i - 1, 2))::HUGEINT))"
+    value = f"list_reduce({steps}, lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
+    return f"CASE WHEN {value} >= 9223372036854775808::HUGEINT THEN {value} - 18446744073709551616::HUGEINT ELSE {value} END::BIGINT"
+
+
+def _le_sql(n: str, width: int = 8) -> str:
+    digits = f"lpad(printf('%X', {n}), {2 * width}, '0')"
+    return "(" + " || ".join(f"substr({digits}, {2 * width - 1 - 2 * k}, 2)" for k in range(width)) + ")"
+
+
+_FILE = f"WITH c AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS size, hex(encode(coalesce(text, ''))) AS h FROM documents), e AS (SELECT doc_id, size, {_le_sql('size')} || substr(h, 1, 131072) || substr(h, 2 * greatest(65536, size - 65536) + 1, 131072) AS h FROM c)"
+
+
+@query("file_fingerprint", f"{_FILE} SELECT doc_id, {_fnv_sql('h')} AS fingerprint FROM e")
+def file_fingerprint_(s, d):
+    """Documents as files."""
+    content = F.coalesce("text", F.lit("")).cast("binary")
+    return Library(s, d)._read("documents").select("doc_id", file_fingerprint(content, F.octet_length(content).cast("long")).alias("fingerprint"))
+
+
+@query("source_ids", O.with_tables(O.FILES, body=f"SELECT id, {_fnv_sql('h')} AS source_id FROM (SELECT id, {_le_sql('size')} || {_le_sql('modified_ns', 16)} || {_le_sql('fingerprint')} AS h FROM files)"))
+def source_ids(s, d):
+    return Library(s, d).files().select("id", source_id(F.col("size").cast("long"), F.col("modified_ns"), F.col("fingerprint")).alias("source_id"))
+
+
+@query("render_keys", O.with_tables(O.FILES, body=f"SELECT id, {_fnv_sql('h')} AS recipe_hash, 200 AS width, 1 AS format FROM (SELECT id, hex(encode('{{\"exposure\":' || id || '}}')) AS h FROM files)"))
+def render_keys(s, d):
+    """The cache key of each photo's render: hash of its recipe as text, beside size and format."""
+    return Library(s, d).files().select("id", fnv1a(F.concat(F.lit('{"exposure":'), F.col("id").cast("string"), F.lit("}")).cast("binary")).alias("recipe_hash"), F.lit(200).alias("width"), F.lit(1).alias("format"))
+
+
+@query("decoder_formats", O.with_tables(O.FILES, body="SELECT id, CASE id % 4 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'tiff' WHEN 2 THEN 'raw' END AS format FROM files"))
+def decoder_formats(s, d):
+    path = F.expr("concat(substr(path, 1, length(path) - 3), CASE id % 4 WHEN 0 THEN 'JPeG' WHEN 1 THEN 'tif' WHEN 2 THEN 'nef' ELSE '' END)")
+    return Library(s, d).files().select("id", files.decoder_for(path).alias("format"))
+
+
+@query("listing_folders", O.with_tables(O.FILES, body="SELECT path, count(*) AS n FROM (SELECT '/lib/Photos/' || split_part(substr(path, 13), '/', 1) AS path FROM files WHERE starts_with(path, '/lib/Photos/')) GROUP BY path"))
+def listing_folders(s, d):
+    return files.folders_in(Library(s, d).files(), "/lib/Photos/")
+
+
+@query("walk_stats", O.with_tables(O.FILES, body="SELECT count(*) FILTER (id % 3 = 0) AS photos, count(*) FILTER (id % 3 = 1) AS skipped, count(*) FILTER (id % 3 = 2) AS hidden FROM files"))
+def walk_stats(s, d):
+    return files.walked(Library(s, d).files().selectExpr("CASE id % 3 WHEN 0 THEN path WHEN 1 THEN concat(path, '.txt') ELSE concat(dir, '/.x.nef') END AS path"), ["nef"])
+
+
+@query("fnv_fingerprint", f"SELECT n_nationkey, {_fnv_sql('h')} AS hash FROM (SELECT n_nationkey, hex(encode(n_name)) AS h FROM nation)")
 def fnv_fingerprint(s, d):
     return Library(s, d)._read("nation").select("n_nationkey", fnv1a(F.col("n_name").cast("binary")).alias("hash"))
 
@@ -574,3 +610,6 @@ def px_pipeline(s, d):
 
 def flagship(s: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["search_flagship"](s, sf_dir)
+
+
+from . import queries_changes  # noqa: E402,F401  registers its queries
