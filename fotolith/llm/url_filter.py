@@ -8,19 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import bounded_batches
+from .url_table import labelled_urls
 from .words import U, mix, pieces, text_buffer
 
 DIMENSIONS = 1 << 16
-GRAMS = (3, 4, 5)
-# The words of the labelled URLs. Each is put into every shape below, so the table has a few hundred rows.
-BAD = ("casino-win", "cheap-pills", "free-bets", "adult-x", "spam-farm", "ads-track", "slots-bonus", "viagra-shop", "xxx-cams", "poker-cash", "loan-fast", "track-click")
-GOOD = ("daily-news", "city-library", "recipes", "open-docs", "history", "garden", "school", "weather", "science", "museum", "the-times", "nation", "theatre", "station", "health", "travel")
-SHAPES = ("http://www.{}.example.com/en/12.html", "https://{}.example.org/de/345", "http://blog.{}.example.net/fr/6?page=2", "https://m.{}.example.com/es/78#top", "https://{}.example.net/90/")
-
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table: (url, 1 for a URL to block)."""
-    return [(s.format(w), y) for y, words in ((1, BAD), (0, GOOD)) for w in words for s in SHAPES]
+GRAMS = (3, 4, 5, 6)
+#: The weight of a path beside its host, and the sign between them.
+PATH, BREAK = 0.5, 0x0A
+#: The share of URLs to block that is expected before a URL is seen.
+PRIOR = 0.4
 
 
 def host_of(url: Column) -> Column:
@@ -44,40 +40,57 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of all character n-grams of the texts."""
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    owners, features = [], []
-    for n in GRAMS:
-        m = len(data) - n + 1
+def _grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, value) of all character n-grams of the hosts and paths that _shown joins; none holds both.
+
+    The n-grams of a host have a square sum of 1 if they differ, those of a path of PATH squared.
+    """
+    n = len(offsets) - 1
+    text = np.repeat(np.arange(n), np.diff(offsets))
+    breaks = np.concatenate([[0], np.cumsum(data == BREAK)])
+    part = 2 * text + (breaks[1:] > breaks[offsets[:-1]][text])
+    owners, features = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in GRAMS:
+        m = len(data) - size + 1
         if m <= 0:
             continue
-        h = np.full(m, U(n))
-        for j in range(n):
-            h = (h << U(8)) | data[j : j + m].astype(U)
-        same = np.flatnonzero(text[:m] == text[n - 1 :])
-        owners.append(text[same])
-        features.append((mix(h[same]) % U(DIMENSIONS)).astype(np.int64))
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(owners), np.concatenate(features)) if owners else (none, none)
+        h = np.full(m, U(size))
+        for j in range(size):
+            h = mix(h ^ data[j : j + m].astype(U))
+        same = np.flatnonzero(part[:m] == part[size - 1 :])
+        owners.append(part[same])
+        features.append(((h[same] + (part[same] % 2).astype(U)) % U(DIMENSIONS)).astype(np.int64))
+    owner, feature = np.concatenate(owners), np.concatenate(features)
+    value = np.where(owner % 2, PATH, 1.0) / np.sqrt(np.maximum(np.bincount(owner, minlength=2 * n), 1))[owner]
+    return owner // 2, feature, value
 
 
 def _shown(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    return text_buffer(pa.array([f"^{h} {p}$" for h, p in zip(hosts, paths, strict=True)], pa.large_string()))
+    return text_buffer(pa.array([f".{h}.\n{p}" for h, p in zip(hosts, paths, strict=True)], pa.large_string()))
 
 
-def train(urls: list[tuple[str, int]], steps: int = 300, rate: float = 5.0, decay: float = 1e-4, prior: float = 0.1) -> np.ndarray:
-    """Weights by full gradient steps over the labelled table; the last is the bias, the log odds of blocking a URL of which nothing is known."""
+def train(urls: list[tuple[str, int]], steps: int = 1000, rate: float = 2.0, l1: float = 3e-5, prior: float = PRIOR) -> np.ndarray:
+    """Weights by full gradient steps over the labelled table, both labels of equal weight, each followed by shrinking all weights by l1.
+
+    The last weight is the bias, the log odds of the prior; it isn't learnt, so that n-grams which both labels have weigh nothing.
+    """
     y = np.array([label for _, label in urls], float)
     cut = [u.partition("://")[2].partition("#")[0].partition("?")[0].partition("/") for u, _ in urls]
-    text, feature = _grams(*_shown([c[0].lower() for c in cut], [c[1] + c[2] for c in cut]))
-    share = 1 / np.maximum(np.bincount(text, minlength=len(y)), 1)[text]
-    w, b = np.zeros(DIMENSIONS), np.log(prior / (1 - prior))
+    text, feature, share = _grams(*_shown([c[0].lower() for c in cut], [c[1] + c[2] for c in cut]))
+    even = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    w = np.zeros(DIMENSIONS)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-(np.bincount(text, w[feature] * share, len(y)) + b)))
-        g = (p - y) / len(y)
-        w -= rate * len(y) * (np.bincount(feature, g[text] * share, DIMENSIONS) + decay * w / len(y))
-    return np.append(w, b)
+        p = 1 / (1 + np.exp(-np.bincount(text, w[feature] * share, len(y))))
+        w -= rate * np.bincount(feature, ((p - y) * even)[text] * share, DIMENSIONS)
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0)
+    return np.append(w, np.log(prior / (1 - prior)))
+
+
+def scores(w: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The likelihood of block for each text of host and path."""
+    n = len(offsets) - 1
+    text, feature, share = _grams(data, offsets)
+    return 1 / (1 + np.exp(-(np.bincount(text, w[feature] * share, n) + w[-1])))
 
 
 def _scores(weights):
@@ -86,10 +99,8 @@ def _scores(weights):
         for batch in batches:
             data, offsets = text_buffer(batch.column(batch.num_columns - 1))
             out = []
-            for a, b, x, y in pieces(data, offsets):
-                text, feature = _grams(x, y)
-                n = np.maximum(np.bincount(text, minlength=b - a), 1)
-                out.append(1 / (1 + np.exp(-(np.bincount(text, w[feature], b - a) / n + w[-1]))))
+            for _, _, x, y in pieces(data, offsets):
+                out.append(scores(w, x, y))
             score = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*batch.schema.names[:-1], "score"])
 
@@ -100,12 +111,13 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], labelled: list[
     """For each row of pages (page_id, url; other columns are ignored): page_id, host, path, rule, verdict, score.
 
     A rule's verdict comes first, that of the longest rule that fits; without one the score, the likelihood of a URL to block, decides:
-    block from 0.5 on. Null URLs and those without :// have an empty host and path and are scored as such. No rows give no rows.
+    block from 0.5 on. Null URLs and those without :// have an empty host and path and are scored as such, very long ones whole. Rows that tie or
+    repeat are judged alike; no rows give no rows.
     """
     bounded_batches(pages.sparkSession)
     weights = pages.sparkSession.sparkContext.broadcast(train(labelled or labelled_urls()))
     held = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    shown = F.concat(F.lit("^"), "host", F.lit(" "), "path", F.lit("$")).alias("shown")
+    shown = F.concat(F.lit("."), "host", F.lit(".\n"), "path").alias("shown")
     scored = held.select("*", shown).mapInArrow(_scores(weights), "page_id long, host string, path string, score double")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
