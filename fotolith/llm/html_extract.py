@@ -9,6 +9,7 @@ headers, footers, forms, adverts and the like. An <article> or <main> is the art
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html
 import json
@@ -31,6 +32,8 @@ DEPTH = 100
 CONSTANT_PAGES = 3
 #: Articles of a host with more constant characters than so many times those that vary are copies of each other.
 COPIES = 4
+#: Rows of siblings are aligned by their longest common subsequence up to so many comparisons, longer ones in time linear but for a logarithm.
+CELLS = 1 << 16
 #: Tags that may be the article's region.
 ARTICLE = ("article", "main")
 
@@ -40,8 +43,10 @@ NEVER = set("aside button canvas datalist dialog footer form head header iframe
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
-#: Words of class, id and role that tell what is no article.
-NOISE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|consent|contentinfo|cookies?|dialog|disqus|footer|form|header|login|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|replies|search|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|complementary)(?:$|[\s_-])", re.I)
+#: Words of class, id and role that tell what is no article, each a whole word or its first part: `ad` and `ad-slot`, not `social-history`'s last.
+NOISE = re.compile(r"(?:^|\s)(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|contentinfo|cookies?|disqus|footer|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|replies|sidebar|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Words that also name what an article may be about: they count outside <article> and <main> only; inside, the wrapper decides.
+WEAK = re.compile(r"(?:^|\s)(?:complementary|dialog|form|related|search|share|sharing|social)(?:$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</\s*([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPACE = re.compile(r"\s+")
@@ -89,7 +94,8 @@ def tree(page: str) -> Node:
                 at = end.start() if end else len(page)
                 continue
             noise = [" ".join(filter(None, x)) for x in NAMED.findall(attributes)]
-            own = tag in BLOCK or tag in NEVER or (tag not in VOID and any(map(NOISE.search, noise)))
+            loud = any(map(NOISE.search, noise)) or (any(map(WEAK.search, noise)) and not any(n.label.partition(".")[0] in ARTICLE for n in stack))
+            own = tag in BLOCK or tag in NEVER or (tag not in VOID and loud)
             if tag == "br":
                 held.append(" ")
             elif tag in VOID:
@@ -106,7 +112,7 @@ def tree(page: str) -> Node:
                         break
                     if name in ("ul", "ol", "table", "dl", "select", "html"):
                         break
-                node = Node(f"{tag}.{DIGITS.sub('0', ' '.join(noise))}" if noise else tag, stack[-1].good and tag not in NEVER and not any(map(NOISE.search, noise)))
+                node = Node(f"{tag}.{DIGITS.sub('0', ' '.join(noise))}" if noise else tag, stack[-1].good and tag not in NEVER and not loud)
                 if len(stack) <= DEPTH:
                     stack[-1].items.append(node)
                 stack.append(node)
@@ -154,14 +160,24 @@ def _repeated(x: list) -> int:
     return 4 if x[0] == "#" else 3
 
 
-def _pairs(a: list, b: list) -> list[tuple[int | None, int | None]]:
-    """An alignment of two rows of items by a longest common subsequence of their labels."""
-    la, lb = [_label(x) for x in a], [_label(x) for x in b]
-    if la == lb:
-        return [(i, i) for i in range(len(la))]
-    # Labels that only one row has are in no common subsequence.
-    both = set(la) & set(lb)
+def _common(la: list[str], lb: list[str]) -> list[tuple[int, int]]:
+    """A common subsequence of two rows of labels, the longest one wherever that takes no more than CELLS comparisons.
+
+    Longer rows match the k-th element of a label with the k-th of the other row, and the longest chain of such matches in both orders is taken.
+    """
+    both = set(la) & set(lb)  # labels that only one row has are in no common subsequence
     ia, ib = ([i for i, x in enumerate(row) if x in both] for row in (la, lb))
+    if len(ia) * len(ib) > CELLS:
+        place: dict[str, list[int]] = {}
+        for j in ib:
+            place.setdefault(lb[j], []).append(j)
+        seen: dict[str, int] = {}
+        pairs = []
+        for i in ia:
+            k = seen[la[i]] = seen.get(la[i], -1) + 1
+            if k < len(place[la[i]]):
+                pairs.append((i, place[la[i]][k]))
+        return _rising(pairs)
     best = [[0] * (len(ib) + 1) for _ in range(len(ia) + 1)]
     for i in range(len(ia) - 1, -1, -1):
         for j in range(len(ib) - 1, -1, -1):
@@ -175,8 +191,42 @@ def _pairs(a: list, b: list) -> list[tuple[int | None, int | None]]:
             i += 1
         else:
             j += 1
+    return matched
+
+
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest chain of pairs, whose first parts rise, in which the second parts rise too."""
+    ends: list[int] = []  # the least last place of chains of each length, as numbers of pairs
+    lows: list[int] = []
+    before = [-1] * len(pairs)
+    for n, (_, j) in enumerate(pairs):
+        k = bisect.bisect_left(lows, j)
+        before[n] = ends[k - 1] if k else -1
+        if k == len(lows):
+            lows.append(j)
+            ends.append(n)
+        else:
+            lows[k], ends[k] = j, n
+    out, n = [], ends[-1] if ends else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
+def _pairs(a: list, b: list) -> list[tuple[int | None, int | None]]:
+    """An alignment of two rows of items by a common subsequence of their labels."""
+    la, lb = [_label(x) for x in a], [_label(x) for x in b]
+    if la == lb:
+        return [(i, i) for i in range(len(la))]
+    # What both begin and end with is matched at once.
+    n, m = len(la), len(lb)
+    head = next((i for i in range(min(n, m)) if la[i] != lb[i]), min(n, m))
+    tail = next((i for i in range(min(n, m) - head) if la[n - 1 - i] != lb[m - 1 - i]), min(n, m) - head)
+    inner = _common(la[head : n - tail], lb[head : m - tail])
+    matched = [(i, i) for i in range(head)] + [(i + head, j + head) for i, j in inner] + [(n - tail + i, m - tail + i) for i in range(tail)]
     out, i, j = [], 0, 0
-    for x, y in [*matched, (len(la), len(lb))]:
+    for x, y in [*matched, (n, m)]:
         out += [(k, None) for k in range(i, x)] + [(None, k) for k in range(j, y)] + [(x, y)]
         i, j = x + 1, y + 1
     return out[:-1]
@@ -185,7 +235,9 @@ def _pairs(a: list, b: list) -> list[tuple[int | None, int | None]]:
 def _merged(a: list, b: list, same_page: bool = False) -> list:
     """One expression for both: what only one has becomes optional, what repeats in one repeats, texts that differ are no constants."""
     if a[0] == "#":
-        texts = a[1] | b[1] if same_page else {k: n for k, n in a[1].items() if k in b[1]}
+        if same_page:
+            a[1].update(b[1])  # the page's own
+        texts = a[1] if same_page else {k: n for k, n in a[1].items() if k in b[1]}
         return ["#", texts, a[2] if same_page else a[2] + b[2], a[3] or b[3], a[4] or b[4], a[5] + b[5]]
     items = []
     for i, j in _pairs(a[4], b[4]):

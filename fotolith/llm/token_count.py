@@ -242,7 +242,7 @@ class Counter:
 
     def __init__(self, merges: Merges):
         self.merges = merges
-        self.keys, self.tokens = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.more, self.tokens = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out = np.zeros(len(offsets) - 1, np.int64)
@@ -274,9 +274,13 @@ class Counter:
         stop = np.minimum(np.append(start[1:], len(data)), end[owner])
         w = Words.__new__(Words)
         w.start, w.end = start, stop
-        w._hash(data, False)
+        w._hash(data, True)
         h, one, where = np.unique(w.hash, return_index=True, return_inverse=True)
-        np.add.at(out, text[owner], self._tokens(h, data, start[one], stop[one])[where])
+        tokens = self._tokens(h, w.hash2[one], data, start[one], stop[one])[where]
+        other = np.flatnonzero(w.hash2 != w.hash2[one][where])  # pieces that share 64 bits with another one
+        if len(other):
+            tokens[other] = self.merges.counts(data, start[other], stop[other])
+        np.add.at(out, text[owner], tokens)
         return out
 
     def _special(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
@@ -291,19 +295,23 @@ class Counter:
                 at = raw.find(s, at + (len(s) if inside else 1))
         return sorted(out)
 
-    def _tokens(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def _tokens(self, h: np.ndarray, h2: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Tokens of pieces that are told by 128 bits, in order of the first 64."""
         at = np.searchsorted(self.keys, h)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == h[known]
+        same = at < len(self.keys)
+        same[same] = self.keys[at[same]] == h[same]
+        known = same.copy()
+        known[same] = self.more[at[same]] == h2[same]
         out = np.zeros(len(h), np.int64)
         out[known] = self.tokens[at[known]]
         new = np.flatnonzero(~known)
         if len(new):
             out[new] = self.merges.counts(data, start[new], end[new])
             if len(self.keys) > KEPT:
-                self.keys, self.tokens = self.keys[:0], self.tokens[:0]
-                at = at * 0
-            self.keys, self.tokens = np.insert(self.keys, at[new], h[new]), np.insert(self.tokens, at[new], out[new])
+                self.keys, self.more, self.tokens = self.keys[:0], self.more[:0], self.tokens[:0]
+                at, same = at * 0, np.zeros(len(h), bool)
+            new = new[~same[new]]
+            self.keys, self.more, self.tokens = (np.insert(old, at[new], x[new]) for old, x in ((self.keys, h), (self.more, h2), (self.tokens, out)))
         return out
 
 
