@@ -25,15 +25,16 @@ from .keep import with_groups
 from .scratch import Scratch, bounded_batches
 from .words import SPACED, U, Words, lists, mix, pieces, signed, text_buffer
 
-#: A table of so many buckets of n-grams tells which come late in the order: 16 MB of bits whatever the input.
-BUCKET_BITS = 27
-BUCKETS = 1 << BUCKET_BITS
-#: N-grams of so many documents come last in the order. It changes speed, never results.
-OFTEN = 2
+#: A table of so many buckets of n-grams tells which come late in the order, and one of an eighth as many which come last: 18 MB of bits whatever the
+#: input. Buckets are counted by pages.
+BUCKET_BITS, PAGE_BITS, COARSE_BITS = 27, 15, 3
+BUCKETS, PAGE = 1 << BUCKET_BITS, 1 << PAGE_BITS
+#: N-grams of so many documents come late in the order, and those of so many last. It changes speed, never results.
+OFTEN, COMMON = 2, 16
 #: Cells of a sketch.
 SKETCH = 1024
 #: The share of pivots grows by this factor from round to round; columns with open pairs after LONG pivots are parted by second columns.
-WIDEN, LONG = 64, 64
+WIDEN, LONG = 32, 1024
 #: Blocks of columns over which overlaps are summed, by the first bits of the hash.
 BLOCK_BITS = 2
 BLOCKS = 1 << BLOCK_BITS
@@ -57,11 +58,12 @@ def _grams(w: Words, n: int) -> list[np.ndarray]:
 
 
 def _ordered(s: np.ndarray, late: np.ndarray | None) -> np.ndarray:
-    """The column numbers of a set, in the order of columns: 63 bits of the hash, late ones after all others."""
-    key = s >> U(2)
+    """The column numbers of a set, in the order of columns: 62 bits of the hash, late ones after all others."""
+    key = s >> U(3)
     if late is not None:
-        bucket = s >> U(64 - BUCKET_BITS)
-        key |= ((late[bucket >> U(3)] >> (bucket & U(7)).astype(np.uint8)) & 1).astype(U) << U(62)
+        for bits, size, place in zip(late, (BUCKET_BITS, BUCKET_BITS - COARSE_BITS), (U(61), U(62)), strict=True):
+            bucket = s >> U(64 - size)
+            key |= ((bits[bucket >> U(3)] >> (bucket & U(7)).astype(np.uint8)) & 1).astype(U) << place
     return np.sort(key)
 
 
@@ -85,27 +87,62 @@ def _texts(batches, each):
 
 
 def _buckets(n: int):
+    """text to (page, places in the page, two bytes each) of the buckets of its n-grams, a row for each page and batch."""
+
     def run(batches):
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
-            for _, _, x, y in pieces(data, offsets):
-                sets = _grams(Words(x, y, SPACED, True), n)
-                yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(sets) >> U(64 - BUCKET_BITS)).astype(np.int32))], ["bucket"])
+            found = [np.concatenate(_grams(Words(x, y, SPACED, True), n)) >> U(64 - BUCKET_BITS) for _, _, x, y in pieces(data, offsets)]
+            bucket = np.sort(np.concatenate(found)) if found else np.zeros(0, U)
+            page = (bucket >> U(PAGE_BITS)).astype(np.int32)
+            first = np.flatnonzero(np.concatenate([page[:1] >= 0, page[1:] != page[:-1]]))
+            places = (bucket & U(PAGE - 1)).astype(np.uint16)
+            bound = np.append(first, len(page)).astype(np.int32) * 2
+            blobs = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bound), pa.py_buffer(places)])
+            yield pa.RecordBatch.from_arrays([pa.array(page[first]), blobs], ["page", "places"])
+
+    return run
+
+
+def _counted(late: int, last: int):
+    """Rows sorted by page to the bits of the buckets that so many documents have; a task holds the counts of one page."""
+
+    def bits(page, counts):
+        coarse = counts.reshape(-1, 1 << COARSE_BITS).sum(1)
+        return page, *(np.packbits(c >= least, bitorder="little").tobytes() for c, least in ((counts, late), (coarse, last)))
+
+    def rows(found):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["page", "late", "last"])
+
+    def run(batches):
+        at, counts = None, None
+        for batch in batches:
+            out = []
+            for page, places in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if page != at:
+                    if at is not None:
+                        out.append(bits(at, counts))
+                    at, counts = page, np.zeros(PAGE, np.int64)
+                counts += np.bincount(np.frombuffer(places.as_buffer(), np.uint16), minlength=PAGE)
+            if out:
+                yield rows(out)
+        if at is not None:
+            yield rows([bits(at, counts)])
 
     return run
 
 
-def _often(docs: DataFrame, n: int, scratch: Scratch) -> np.ndarray | None:
-    """One bit for each bucket of n-grams that OFTEN documents hold."""
-    counts = docs.select("text").mapInArrow(_buckets(n), "bucket int").groupBy("bucket").count()
-    counts = scratch.table(counts)
-    many = OFTEN + 2 * (counts.agg(F.sum("count")).first()[0] or 0) // BUCKETS  # more than chance puts into a bucket
-    counts = counts.filter(F.col("count") >= many)
-    pages = counts.groupBy(F.expr("bucket div 32768").alias("page")).agg(F.bitmap_construct_agg(F.col("bucket").cast("long") % 32768).alias("bits"))
-    out = np.zeros(BUCKETS // 8, np.uint8)
-    for r in pages.collect():  # 4096 pages of 4 KB at most
-        out[r.page * 4096 : (r.page + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    return out if out.any() else None
+def _often(docs: DataFrame, n: int) -> list[np.ndarray] | None:
+    """Two bits for each bucket of n-grams: whether OFTEN documents hold one, and whether COMMON do."""
+    chance = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6 // BUCKETS  # what chance puts into a bucket, with six bytes a word
+    held = docs.select("text").mapInArrow(_buckets(n), "page int, places binary").repartition("page").sortWithinPartitions("page")
+    pages = held.mapInArrow(_counted(OFTEN + chance, COMMON + 2 * (chance + 1 << COARSE_BITS)), "page int, late binary, last binary")
+    sizes = (PAGE // 8, PAGE // 8 >> COARSE_BITS)
+    out = [np.zeros((BUCKETS // PAGE) * size, np.uint8) for size in sizes]
+    for r in pages.toLocalIterator():  # 4096 pages of 4.5 KB at most
+        for bits, mine, size in zip(out, (r.late, r.last), sizes, strict=True):
+            bits[r.page * size : (r.page + 1) * size] = np.frombuffer(bytes(mine), np.uint8)
+    return out if out[0].any() else None
 
 
 def _prefixes(n: int, share: int, late):
@@ -201,7 +238,7 @@ def ngram_classes(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
     bounded_batches(spark)
     scratch = Scratch(spark, "ngrams")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    late = spark.sparkContext.broadcast(_often(docs, n, scratch))
+    late = spark.sparkContext.broadcast(_often(docs, n))
     rows = docs.mapInArrow(_prefixes(n, share, late), "doc_id long, text_hash long, n long, cls binary, first array<long>, sketch array<long>")
     rows = scratch.table(rows.withColumn("row", F.monotonically_increasing_id()))
     late.destroy()
@@ -214,8 +251,10 @@ def ngram_classes(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
     told = scratch.table(named.join(least, "root").select("cls", "root", "least"))
     wider = classes.join(told, "cls", "left").select("cls", F.coalesce("least", "lead").alias("component_id"), F.coalesce("root", "row").alias("component"), "copies")
     kept = ["doc_id", "text_hash", F.col("n").alias("n_grams"), "component_id", "component"]
-    linked = with_groups(full.select("doc_id", "text_hash", "n", "cls"), scratch.table(wider), "cls", "copies", scratch).select(*kept)
-    alone = rows.filter("n = 0").withColumns({"component_id": F.col("doc_id"), "component": F.col("row")})
+    wider, slim = scratch.table(wider), scratch.table(rows.select("doc_id", "text_hash", "n", "cls", "row"))
+    scratch.keep_only(wider, slim)
+    linked = with_groups(slim.filter("n > 0").drop("row"), wider, "cls", "copies", scratch).select(*kept)
+    alone = slim.filter("n = 0").withColumns({"component_id": F.col("doc_id"), "component": F.col("row")})
     return linked.unionByName(alone.select(*kept))
 
 

@@ -46,6 +46,13 @@ class Scratch:
         for t in tables:
             self._delete(t._at)
 
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Deletes all tables of the run but these."""
+        kept = {t._at for t in tables}
+        for k in range(1, self.n + 1):
+            if f"{self.base}/t{k}" not in kept:
+                self._delete(f"{self.base}/t{k}")
+
     def clear(self) -> None:
         """Deletes all tables of the run; called when the driver ends."""
         try:
