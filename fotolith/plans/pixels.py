@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,13 @@ OMEGA, LEAST_TRANSMISSION, AIRLIGHT_SHARE = 0.9, 0.2, 0.001
 WHITE_SHARE, WHITE_LOW, WHITE_HIGH = 0.005, -4.0, 10.0
 
 
+@dataclass(frozen=True)
+class Steps:
+    """A stage of several projections: values that it uses many times get columns of their own."""
+
+    over: Callable[[DataFrame], DataFrame]
+
+
 def rgb(df_prefix: str = "") -> Triple:
     return tuple(F.col(df_prefix + c) for c in "rgb")
 
@@ -191,7 +199,9 @@ def plan(stages: list[Stage | None], df: DataFrame) -> DataFrame:
     compiles them into one loop over the rows.
     """
     for stage in stages:
-        if stage:
+        if isinstance(stage, Steps):
+            df = stage.over(df)
+        elif stage:
             df = df.withColumns(dict(zip("rgb", stage(rgb()), strict=True)))
     return df
 

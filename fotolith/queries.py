@@ -590,16 +590,6 @@ def px_dehaze_airlight(s, d):
     return P.airlight(Library(s, d).pixels(), 3).select("image_id", *(F.round(f"air_{c}", 5).alias(f"air_{c}") for c in "rgb"))
 
 
-@query("mask_luminance_range")
-def mask_luminance_range(s, d):
-    return Library(s, d).pixels().select("image_id", "y", "x", F.round(P.luminance_mask(40.0, 70.0, 10.0, P.rgb()), 6).alias("coverage"))
-
-
-@query("px_resize")
-def px_resize(s, d):
-    return _six(P.resized(Library(s, d).pixels(), 64, 20))
-
-
 @query("px_pipeline")
 def px_pipeline(s, d):
     """A whole recipe in one projection, then 8-bit codes."""
@@ -612,4 +602,4 @@ def flagship(s: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["search_flagship"](s, sf_dir)
 
 
-from . import queries_changes  # noqa: E402,F401  registers its queries
+from . import queries_changes, queries_pixels  # noqa: E402,F401  register their queries
