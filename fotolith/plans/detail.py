@@ -5,13 +5,16 @@ Each is a chain of window aggregates over lines of an image and of projections b
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import pixels as P
 from .pixels import FLOOR, Triple, clamp, luma, rgb, smoothstep
 
-# Fixed values of the stages.
+# Fixed values of the stages. Output sharpening: sigma, amount and threshold by medium.
+MEDIA = {"screen": (0.6, 0.45, 0.01), "matte": (1.1, 0.9, 0.008), "glossy": (0.9, 0.6, 0.008)}
 MAP_EDGE, MAP_RADIUS, TONE_EPS, HAZE_EPS, HAZE_PATCH = 256, 13, 0.25, 1e-3, 7
 TEXTURE, CLARITY, MOST_STOPS, RADIUS_SHARE = 1.0, 2.0, 1.5, 0.0015
 SHARPEN, SHARPEN_STOPS = 1.5, 0.5
@@ -160,3 +163,27 @@ def detailed(df: DataFrame, width: int, height: int, texture: float = 0, clarity
     stops = clamp(F.col("quiet__l") - F.col("_l") + gain_stops(texture, clarity, sharpening, F.col("quiet__l"), small, small, F.col("sharp_quiet__l")), -MOST_STOPS, MOST_STOPS)
     df = df.withColumn("_gain", F.pow(F.lit(2.0), stops))
     return df.withColumns({c: F.col(c) * F.col("_gain") for c in "rgb"}).drop("_gain", "_l", "quiet__l", "blur_quiet__l", "sharp_quiet__l")
+
+
+def _gaussian(df: DataFrame, column: str, axis: str, line: str, weights: list[float]) -> Column:
+    """The weighted mean along a line; border pixels stand in for those beyond."""
+    r = len(weights) // 2
+    w = Window.partitionBy("image_id", line).orderBy(axis)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first, last = F.first(column).over(whole), F.last(column).over(whole)
+    parts = [F.coalesce(F.lag(column, r - k).over(w), first) * v if k < r else F.coalesce(F.lead(column, k - r).over(w), last) * v if k > r else F.col(column) * v for k, v in enumerate(weights)]
+    return sum(parts[1:], parts[0])
+
+
+def output_sharpened(df: DataFrame, medium: str) -> DataFrame:
+    """Encoded images (0 to 1) sharpened for a medium: what a blur takes from the luma is added to all channels, faint detail left out."""
+    sigma, amount, threshold = MEDIA[medium]
+    r = math.ceil(sigma * 3)
+    raw = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-r, r + 1)]
+    weights = [v / sum(raw) for v in raw]
+    df = df.withColumn("_l", luma(rgb()))
+    df = df.withColumn("_a", _gaussian(df, "_l", "x", "y", weights))
+    df = df.withColumn("_d", F.col("_l") - _gaussian(df, "_a", "y", "x", weights))
+    t = clamp((F.abs("_d") - threshold) / threshold)
+    df = df.withColumn("_k", F.col("_d") * t * t * (3.0 - 2.0 * t) * amount)
+    return df.withColumns({c: clamp(F.col(c) + F.col("_k")) for c in "rgb"}).drop("_l", "_a", "_d", "_k")

@@ -22,6 +22,25 @@ def from_exif(orientation: Column) -> tuple[Column, Column]:
     return F.coalesce(F.try_element_at(turns, orientation), F.lit(0)), F.coalesce(orientation.isin([k for k, (_, f) in EXIF.items() if f]), F.lit(False))
 
 
+def after(second: tuple[int, bool], first: tuple[int, bool]) -> tuple[int, bool]:
+    """The one turn that does the first and then the second. Turns to the left of a mirror go the other way round."""
+    turns = second[0] - first[0] if second[1] else second[0] + first[0]
+    return turns % 4, second[1] != first[1]
+
+
+def inverse(turn: tuple[int, bool]) -> tuple[int, bool]:
+    """The turn that undoes it; a mirrored one undoes itself."""
+    return turn if turn[1] else (-turn[0] % 4, False)
+
+
+def turned_point(turn: tuple[int, bool], u: Column, v: Column) -> tuple[Column, Column]:
+    """Where a point, in shares of the photo, is once it is turned."""
+    x, y = (1.0 - u if turn[1] else u), v
+    for _ in range(turn[0] % 4):
+        x, y = 1.0 - y, x
+    return x, y
+
+
 def turned(df: DataFrame, turns: int, flip: bool, width: int, height: int) -> DataFrame:
     """Images mirrored left to right, then turned clockwise."""
     x, y = F.col("x"), F.col("y")

@@ -602,4 +602,4 @@ def flagship(s: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["search_flagship"](s, sf_dir)
 
 
-from . import queries_changes, queries_pixels  # noqa: E402,F401  register their queries
+from . import queries_changes, queries_pixels, queries_views  # noqa: E402,F401  register their queries
