@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bits import bitmap, bits_for, marked
@@ -26,18 +28,26 @@ def with_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size:
     return placed.filter(F.col(size).isNotNull()).unionByName(rest)
 
 
-def kept_rows(docs: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of docs whose decision (keys, kept) is to stay. docs has the keys as columns; keys hold no null.
+def aside(docs: DataFrame, names: tuple[str, ...], f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The columns of docs after f, which adds columns of these names; columns of docs that are called so are kept out of its way."""
+    moved = {c: "_" * (1 + max(map(len, docs.columns))) + c for c in docs.columns if c in names}
+    out = f(docs.withColumnsRenamed(moved))
+    return out.select(*(F.col(moved.get(c, c)).alias(c) for c in docs.columns))
+
+
+def kept_rows(docs: DataFrame, decisions: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of docs whose decision (the keys' names, kept) is to stay. keys are told from the columns of docs and hold no null.
 
-    Of rows with one key of which some stay and some go, one stays.
+    Of rows with one key of which some stay and some go, one stays. Columns of docs may have any names.
     """
     scratch = Scratch(docs.sparkSession, "kept")
     gone = decisions.groupBy(*keys).agg(F.max("kept").alias("_stays"), F.count("*").alias("_rows")).filter("NOT _stays OR _rows > 1")
     gone = scratch.table(gone.select(*keys, "_stays"))
     bits = bits_for(gone.count())
-    told = marked(docs, *keys, within=bitmap(gone, *keys, bits=bits), bits=bits)
-    asked = told.filter("_in").drop("_in").join(gone.hint("shuffle_hash"), keys, "left").select(*docs.columns, "_stays")
-    out = told.filter("NOT _in").drop("_in").unionByName(asked.filter("_stays IS NULL").drop("_stays"))
-    if gone.filter("_stays").isEmpty():
-        return out
-    return out.unionByName(asked.filter("_stays").drop("_stays").dropDuplicates(keys))
+    rows = docs.select(F.struct("*").alias("_row"), *(c.alias(k) for k, c in keys.items()))
+    told = marked(rows, *keys, within=bitmap(gone, *keys, bits=bits), bits=bits)
+    asked = told.filter("_in").drop("_in").join(gone.hint("shuffle_hash"), [*keys], "left").select("_row", *keys, "_stays")
+    out = told.filter("NOT _in").select("_row").unionByName(asked.filter("_stays IS NULL").select("_row"))
+    if not gone.filter("_stays").isEmpty():
+        out = out.unionByName(asked.filter("_stays").dropDuplicates([*keys]).select("_row"))
+    return out.select("_row.*")

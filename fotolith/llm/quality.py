@@ -26,6 +26,8 @@ SPAN = 4
 #: At most so many labelled rows are learnt from, those of least hash: the bound of what reaches the driver.
 TRAIN_ROWS = 6000
 DIMENSIONS = 1 << 18
+#: Scores from here on count as good.
+GOOD = 0.7
 
 
 def _features(w: Words, dimensions: int) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -6,15 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_matches
-from .exact_dedup import exact_duplicates, normalised
-from .keep import kept_rows, with_groups
+from .exact_dedup import exact_duplicates, sha_of
+from .keep import aside, kept_rows, with_groups
 from .mixing import mixed
 from .ngram_join import ngram_classes
-from .quality import scored, train
+from .quality import GOOD, scored, train
 from .scratch import Scratch
 
-#: Documents below this score go.
-LEAST_QUALITY = 0.5
 #: Shares of the mix; all other sources share the rest by their sizes.
 TARGETS = {"src0": 0.15, "src1": 0.1, "src2": 0.1, "src3": 0.08}
 
@@ -30,36 +28,41 @@ def held_out():
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go: those below GOOD, as in op8. Null and empty texts have one score and stay or go together; rows that tie
+    or repeat are judged alike; without labels all weights are 0 and every score is one half; no rows give no rows."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out()).select("doc_id", F.col("quality").alias("label"))
-    return scored(docs, train(docs, labels)).filter(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    weights = train(docs.select("doc_id", "text"), labels)
+    return aside(docs, ("score",), lambda d: scored(d, weights).filter(F.col("score") >= GOOD))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the least doc_id stays."""
+    """Of equal texts the row with the least doc_id stays. Null and empty texts are one group; a null doc_id gives way to any other; of rows that tie in
+    both one stays; no rows give no rows."""
     told = exact_duplicates(docs.select("doc_id", "text"), keep="min").select(_present().alias("_o"), F.col("sha").alias("_h"), "kept")
-    keyed = docs.withColumns({"_o": _present(), "_h": F.unhex(F.sha2(normalised(F.col("text")).cast("binary"), 256))})
-    return kept_rows(keyed, told, ["_o", "_h"]).select(*docs.columns)
+    return kept_rows(docs, told, {"_o": _present(), "_h": sha_of(F.col("text"))})
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked texts the row with the least doc_id stays."""
+    """Of each group of linked texts the row with the least doc_id stays, of those that tie the one with the least hash of its text. Texts that are null or
+    without words link with nothing and stay; no rows give no rows."""
     rows = ngram_classes(docs.select("doc_id", "text"), n=5, share=80)
     rows = rows.select(_present().alias("_o"), F.col("text_hash").alias("_h"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash").alias("order"), "component")
     scratch = Scratch(spark, "near")
     rows = scratch.table(rows)
     first = scratch.table(rows.groupBy("component").agg(F.min("order").alias("first"), F.count("*").alias("rows")))
     told = with_groups(rows, first, "component", "rows", scratch).select("_o", "_h", (F.col("order") == F.col("first")).alias("kept"))
-    keyed = docs.withColumns({"_o": _present(), "_h": F.xxhash64("text")})
-    return kept_rows(keyed, told, ["_o", "_h"]).select(*docs.columns)
+    return kept_rows(docs, told, {"_o": _present(), "_h": F.xxhash64("text")})
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share 10 consecutive words with a benchmark item go."""
-    found = benchmark_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
-    return found.filter("n_hit = 0").select(*docs.columns)
+    """Documents that share 10 consecutive words with a benchmark item go, or all words of a shorter item. Null and empty texts stay, rows that tie are
+    judged alike; an empty benchmark takes nothing; no rows give no rows."""
+    tests = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return aside(docs, ("n_words", "n_hit", "matches", "_words"), lambda d: benchmark_matches(d, tests, window=10).filter("n_hit = 0"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix by TARGETS, with copy_no and mix_key. A null source has no target; rows that tie are repeated alike; no rows give no rows."""
     return mixed(docs, TARGETS)
 
 
