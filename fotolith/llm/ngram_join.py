@@ -279,23 +279,26 @@ def _roots(spark: SparkSession, scratch: Scratch, docs: DataFrame, lead: DataFra
         roots = components(links, scratch)
         held = shared.select("col", "row", "m").filter(F.col("m") > pivots).join(roots.select(F.col("node").alias("row"), "root"), "row", "left")
         held = held.withColumn("root", F.coalesce("root", "row"))
-        # Columns whose rows have different roots, and were not counted in full before.
-        open_ = held.groupBy("col").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select("col")
-        rest = scratch.table(held.join(open_, "col").join(brief, "row"))
-        if rest.isEmpty():
-            return roots
+        # Columns whose rows have different roots, and were not counted in full before. Rows of a column's main root needn't ask, only answer.
+        shares = held.groupBy("col", "root").agg(F.count("*").alias("n")).groupBy("col").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
+        open_ = shares.filter("roots > 1").select("col", "main")
         if pivots >= LONG and not parted:
             # Two sets that reach the similarity share two of their first columns and the next, so rows of a long column meet by both.
-            second = rest.select("row", "col").join(lead.select("row", F.explode("first").alias("other")), "row").filter("col != other")
+            wide = held.join(open_, "col").select("row", "col")
+            second = wide.join(lead.select("row", F.explode("first").alias("other")), "row").filter("col != other")
             second = second.select("row", F.xxhash64(F.least("col", "other"), F.greatest("col", "other")).alias("col")).distinct()
-            columns = second.groupBy("col").agg(F.count("*").alias("m"), F.min("row").alias("b")).filter("m > 1")
-            shared, pivots, parted = scratch.table(second.join(columns, "col").select("col", "row", "m", "b")), 0, True
+            columns = second.groupBy("col").agg(F.count("*").alias("m")).filter("m > 1")
+            shared, pivots, parted = scratch.table(second.join(columns, "col").select("col", "row", "m")), 0, True
             continue
         pivots = max(1, pivots) * WIDEN
         chance = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) * F.col("m") < F.lit(pivots * (1 << 30))
-        chosen = rest.filter(chance).select("col", F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(4)))
+        rest = held.join(open_, "col").filter((F.col("root") != F.col("main")) | chance)
+        rest = scratch.table(rest.select("col", "row", "root", (F.col("root") != F.col("main")).alias("asks"), chance.alias("answers")).join(brief, "row"))
+        if rest.isEmpty():
+            return roots
+        chosen = rest.filter("answers").select("col", F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(4)))
         apart = " + ".join(f"bit_count(s{i} ^ t{i})" for i in range(4))
-        near = rest.join(chosen, "col").filter(f"row != b AND root != root_b AND {100 + share} * ({apart}) <= {100 - share} * (n + n_b)").filter(_near("n", "n_b", share))
+        near = rest.filter("asks").join(chosen, "col").filter(f"row != b AND root != root_b AND {100 + share} * ({apart}) <= {100 - share} * (n + n_b)").filter(_near("n", "n_b", share))
         near = near.select(F.least("row", "b").alias("a"), F.greatest("row", "b").alias("b")).distinct()
         near = near.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         pairs = scratch.table(_within(near, told, share))

@@ -184,3 +184,23 @@ def test_stages_on_odd_rows(spark, rows):
             assert n <= len(rows) and n >= len(apart) - 2
         elif name == "benchmark_decontamination":
             assert n == len(rows)
+
+
+@pytest.mark.parametrize("few", [1 << 20, 0])
+def test_components(spark, monkeypatch, few):
+    from fotolith.llm import components as module
+    from fotolith.llm.scratch import Scratch
+
+    monkeypatch.setattr(module, "FEW", few)
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (170, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
+    root = {}
+    for a, b in edges:
+        root.setdefault(a, a), root.setdefault(b, b)
+    for _ in range(len(root)):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    got = module.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()
+    assert {r.node: r.root for r in got} == {x: root[x] for x in linked}
+    assert module.components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).count() == 0
