@@ -66,6 +66,13 @@ for _name, _text in SEARCHES.items():
     query(_name, _entries_sql(_words_sql(_text)))(lambda s, d, t=_text: Catalogue(Library(s, d)).search(t))
 
 
+query("search_keyword_hit", _entries_sql(_words_sql("blue widget")))(lambda s, d: Catalogue(Library(s, d)).search("blue widget"))
+# The words of this one are told by hand: text, a day of the month, and a year.
+_HAND = "(SELECT id FROM hay WHERE contains(hay, 'z') AND (contains(hay, '6') OR substr(captured_at, 9, 2) = '06') AND (contains(hay, '1995') OR substr(captured_at, 1, 4) = '1995'))"
+_HAY = "hay AS (SELECT p.id, p.captured_at, lower(concat_ws('|', substr(f.path, 6), camera_make, camera_model, lens, title, caption, (SELECT string_agg(name, '|') FROM photo_keywords k WHERE k.photo_id = p.id))) AS hay FROM photos p JOIN files f ON f.photo_id = p.id)"
+query("search_by_hand", O.with_tables(*_BASE, _HAY, body=f"SELECT {_ENTRY} {_FROM} p.id IN {_HAND}"))(lambda s, d: Catalogue(Library(s, d)).search("Z, 6 1995."))
+
+
 RULES = {
     "smart_rating": (Rules(rating=4), "p.rating >= 4"),
     "smart_unrated": (Rules(rating=0), "p.rating = 0"),
