@@ -36,7 +36,7 @@ class Scratch:
     def table(self, df: DataFrame, partitions: list[str] | None = None) -> DataFrame:
         """Writes df, by folders of the columns in partitions, and reads it again; the result's `_at` is its place, for drop()."""
         at = self.path()
-        df.write.option("compression", "lz4_raw").parquet(at, partitionBy=partitions)
+        df.write.option("compression", "snappy").parquet(at, partitionBy=partitions)
         back = self.spark.read.schema(df.schema).parquet(at)
         back._at = at
         return back
