@@ -222,11 +222,13 @@ def repeated_passages(docs: DataFrame, size: int = 20) -> DataFrame:
         texts = passing(docs, *KEY, within=bitmap(level, *KEY, bits=bits), bits=bits).join(level.hint("shuffle_hash"), KEY)
         rows = scratch.table(texts.select(*KEY, "text", "repeated").mapInArrow(step(size), schema))
         level = scratch.table(_repeated(rows)) if step is _next_level else rows
+        scratch.keep_only(found, copies, level)
     place = F.struct(*KEY, "place")
     first = scratch.table(level.groupBy("left", "h").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1"))
     later = with_groups(level, first, ["left", "h"], "times", scratch).filter(place != F.col("first"))
     gone = later.groupBy(*KEY).agg(F.collect_set("place").alias("gone")).withColumn("every", F.lit(False))
     gone = scratch.table(gone.unionByName(copies.select(*KEY, F.array().cast("array<long>").alias("gone"), F.lit(True).alias("every"))))
+    scratch.keep_only(found, gone)
     bits = bits_for(gone.count())
     told = marked(docs, *KEY, within=bitmap(gone, *KEY, bits=bits), bits=bits)
     none = [F.array().cast("array<long>").alias("gone"), F.lit(False).alias("every")]
