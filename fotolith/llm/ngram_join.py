@@ -222,6 +222,7 @@ def _product(pairs: DataFrame, docs: DataFrame, told: DataFrame, n: int, share:
         counted = met.groupBy(*by).agg(*(F.sum(c.cast("long")).alias(k) for k, c in sums.items()))
         counted = counted.select("a", "b", "n_a", "n_b", (F.col("overlap") + F.col("more")).alias("overlap"), (F.col("left_a") - F.col("out_a")).alias("left_a"), (F.col("left_b") - F.col("out_b")).alias("left_b"))
         held = scratch.table(counted.filter(f"{100 + share} * (overlap + least(left_a, left_b)) >= {share} * (n_a + n_b)"))
+    scratch.drop(inside, entries)
     return held.select("a", "b")
 
 
@@ -302,6 +303,7 @@ def _roots(spark: SparkSession, scratch: Scratch, docs: DataFrame, lead: DataFra
         near = near.select(F.least("row", "b").alias("a"), F.greatest("row", "b").alias("b")).distinct()
         near = near.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         pairs = scratch.table(_within(near, told, share))
+        scratch.drop(rest)
         if not pairs.isEmpty():
             tested = tested.unionByName(pairs)
             links = scratch.table(links.unionByName(_product(pairs, docs, told, n, share, scratch)))
