@@ -111,5 +111,27 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(formatted_chats(turns.unionByName(more)))
 
 
-QUERIES = {"op2_mixing_sources": op2_mixing_sources, "op3_html_extraction": op3_html_extraction, "op4_url_filters": op4_url_filters, "op5_chat_formatting": op5_chat_formatting, "op9_token_counts": op9_token_counts, "op8_quality_classifier": op8_quality_classifier, "op6_benchmark_decontamination": op6_benchmark_decontamination, "op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op10_substring_dedup": op10_substring_dedup, "op7_exact_dedup": op7_exact_dedup}
-ORACLE = {"op2_mixing_sources": OP2, "op7_exact_dedup": OP7}
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels"))
+
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+b AS (SELECT doc_id, part, (len(ws) < 50)::INT AS a, (100 * len(list_distinct(ws)) < 65 * len(ws))::INT AS b, (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT AS c,
+ regexp_matches(t, '[#$%&*|]')::INT AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS e FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+n AS (SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS m, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM b LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f(x, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT f1.x || f2.x || f3.x || f4.x || f5.x AS o FROM f f1, f f2, f f3, f f4, f f5 WHERE f1.bit + f2.bit + f3.bit + f4.bit + f5.bit = 31 AND f1.bit | f2.bit | f3.bit | f4.bit | f5.bit = 31),
+s AS (SELECT o, k, bit, coalesce(sum(bit) OVER (PARTITION BY o ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS before FROM o, range(1, 6) r(k) JOIN f ON x = substr(o, k, 1)),
+g AS (SELECT part, o AS filter_order, k::INT AS step, bit, sum(CASE WHEN m & (before + bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN m & bit > 0 AND m & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+ sum(CASE WHEN m & bit > 0 AND m & before > 0 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN m = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+ sum(CASE WHEN m & bit > 0 AND m & before = 0 AND good THEN n ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN m & bit > 0 AND m & before = 0 AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost FROM n, s GROUP BY ALL)
+SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM g
+"""
+
+
+QUERIES = {"op2_mixing_sources": op2_mixing_sources, "op3_html_extraction": op3_html_extraction, "op4_url_filters": op4_url_filters, "op5_chat_formatting": op5_chat_formatting, "op9_token_counts": op9_token_counts, "op8_quality_classifier": op8_quality_classifier, "op6_benchmark_decontamination": op6_benchmark_decontamination, "op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op10_substring_dedup": op10_substring_dedup, "op7_exact_dedup": op7_exact_dedup, "op13_filter_audit": op13_filter_audit}
+ORACLE = {"op2_mixing_sources": OP2, "op7_exact_dedup": OP7, "op13_filter_audit": OP13}
