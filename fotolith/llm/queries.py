@@ -133,5 +133,33 @@ SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS
 """
 
 
-QUERIES = {"op2_mixing_sources": op2_mixing_sources, "op3_html_extraction": op3_html_extraction, "op4_url_filters": op4_url_filters, "op5_chat_formatting": op5_chat_formatting, "op9_token_counts": op9_token_counts, "op8_quality_classifier": op8_quality_classifier, "op6_benchmark_decontamination": op6_benchmark_decontamination, "op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op10_substring_dedup": op10_substring_dedup, "op7_exact_dedup": op7_exact_dedup, "op13_filter_audit": op13_filter_audit}
-ORACLE = {"op2_mixing_sources": OP2, "op7_exact_dedup": OP7, "op13_filter_audit": OP13}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved), every=50, positives=5, negatives=3, low=50, high=95)
+
+
+OP12 = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM r a, r b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INT AS rank, other AS negative_id, positive_score, score AS negative_score
+ FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT * FROM n WHERE rank <= 3
+"""
+
+
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import BASE, listed, secret_spans
+
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    return found.select("doc_id", *map(n, BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+QUERIES = {"op2_mixing_sources": op2_mixing_sources, "op3_html_extraction": op3_html_extraction, "op4_url_filters": op4_url_filters, "op5_chat_formatting": op5_chat_formatting, "op9_token_counts": op9_token_counts, "op8_quality_classifier": op8_quality_classifier, "op6_benchmark_decontamination": op6_benchmark_decontamination, "op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op10_substring_dedup": op10_substring_dedup, "op7_exact_dedup": op7_exact_dedup, "op13_filter_audit": op13_filter_audit, "op12_hard_negatives": op12_hard_negatives, "op11_secret_scan": op11_secret_scan}
+ORACLE = {"op2_mixing_sources": OP2, "op7_exact_dedup": OP7, "op13_filter_audit": OP13, "op12_hard_negatives": OP12}
