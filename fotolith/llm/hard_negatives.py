@@ -243,7 +243,8 @@ def hard_negatives(rows: DataFrame, every: int = 50, positives: int = 5, negativ
         at = np.searchsorted(np.sort(ids), best.column("anchor_id").to_numpy())
         at, slot, score = np.argsort(ids)[at], best.column("nth").to_numpy() - 1, best.column("positive_score").to_numpy()
         floor, top = bound(NO_BOUND, positives), bound(-NO_BOUND, positives)  # a slot without a positive fits nothing
-        floor[at, slot], top[at, slot] = -(-low * score // 100), high * score // 100
+        whole, rest = np.divmod(score, 100)  # percent of a score without overflow
+        floor[at, slot], top[at, slot] = low * whole - (-low * rest // 100), high * whole + high * rest // 100
         far = _searched(table, Search(ids, label, q, space, False, negatives, floor, top), seeds)
         far_rows = far.select("anchor_id", (F.col("slot") + 1).alias("nth"), F.col("nth").alias("rank"), F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
         out = near_rows.join(scratch.table(far_rows), ["anchor_id", "nth"])
