@@ -16,7 +16,8 @@ BUILTIN = (
     ("mono", "Mono", {"saturation": -100, "contrast": 30, "clarity": 20}),
     ("cool-fade", "Cool fade", {"temperature": -30, "tint": 6, "blacks": 30, "contrast": -15}),
 )
-FORMAT, FORMAT_VERSION = "photo-editor-preset", 1
+#: The format that files name unless a caller names another one, for files that other programs read.
+FORMAT, FORMAT_VERSION = "fotolith-preset", 1
 
 
 def builtin(spark) -> DataFrame:

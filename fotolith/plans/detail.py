@@ -51,7 +51,15 @@ def tone_map(scene: DataFrame, radius: int = MAP_RADIUS) -> DataFrame:
 
 
 def with_map(df: DataFrame, model: DataFrame, size: int, cells: int, names: tuple[str, ...]) -> DataFrame:
-    """df with columns of a map of cells by cells, between the four cells around each pixel by its distance from their centres."""
+    """df with columns of a map of cells by cells, between the four cells around each pixel by its distance from their centres.
+
+    Beyond the last line or column of cells that an image has, which may be fewer than cells, the last one stands in.
+    """
+    w = Window.partitionBy("image_id")
+    model = model.select("image_id", "y", "x", *names).withColumns({f"_m{c}": F.max(c).over(w) for c in "yx"})  # at most cells * cells rows of an image
+    for c in "yx":
+        again = F.when(F.col(c) == F.col(f"_m{c}"), F.array(F.col(c), F.col(c) + 1)).otherwise(F.array(F.col(c)))
+        model = model.withColumn(c, F.explode(again))
     at = lambda c: (F.col(c) + 0.5) * cells / size - 0.5
     low = lambda c: F.greatest(F.lit(0), F.least(F.lit(cells - 1), F.floor(at(c)))).cast("int")
     high = lambda c: F.greatest(F.lit(0), F.least(F.lit(cells - 1), F.floor(at(c)) + 1)).cast("int")

@@ -110,6 +110,16 @@ def effective_crop(crop: Sequence[float], width: int, height: int, straighten: f
     return at(low)
 
 
+def filled(df: DataFrame, width: int, height: int) -> DataFrame:
+    """Images of width by height: where one has fewer lines or columns, its last ones go on."""
+    ends = df.groupBy("image_id").agg(F.max("y").alias("_my"), F.max("x").alias("_mx"))  # a row for each image
+    held = df.join(ends, "image_id")
+    for c, n in (("y", height), ("x", width)):
+        on = F.when(F.col(c) == F.col(f"_m{c}"), F.sequence(F.col(c).cast("int"), F.greatest(F.col(c), F.lit(n - 1)).cast("int"))).otherwise(F.array(F.col(c).cast("int")))
+        held = held.withColumn(c, F.explode(on))
+    return held.select(df.columns)
+
+
 def resampled(df: DataFrame, width: int, height: int, out_width: int, out_height: int, source: Map) -> DataFrame:
     """Images of out_width by out_height, each pixel between the four of the source around the place that it comes from.
 

@@ -236,11 +236,12 @@ def _guided_sql(src: str, eps: str, r: int, p: str) -> str:
 def _between_sql(model: str, name: str) -> str:
     """Pixels of 64 by 64 with ga and gb between the cells of a map of 16 by 16."""
     at = lambda c: f"(({c} + 0.5) / 4 - 0.5)"
-    lo, hi = (lambda c: f"greatest(0, least(15, floor({at(c)})))::INT"), (lambda c: f"greatest(0, least(15, floor({at(c)}) + 1))::INT")
-    joins = " ".join(f"JOIN {model} m{j}{i} ON m{j}{i}.image_id = p.image_id AND m{j}{i}.y = {(lo, hi)[j]('p.y')} AND m{j}{i}.x = {(lo, hi)[i]('p.x')}" for j in (0, 1) for i in (0, 1))
-    tx, ty = (f"greatest(0, least(1, {at(f'p.{c}')} - {lo(f'p.{c}')}))" for c in "xy")
+    cells = ", ".join(f"greatest(0, least(m{c}, floor({at(f'p.{c}')}) + {k}))::INT AS {c}{k}" for c in "yx" for k in (0, 1))
+    held = f"{name}e AS (SELECT image_id, max(y) AS my, max(x) AS mx FROM {model} GROUP BY image_id), {name}c AS MATERIALIZED (SELECT p.*, {cells} FROM pixels p JOIN {name}e USING (image_id)), {name}m AS MATERIALIZED (SELECT * FROM {model})"
+    joins = " ".join(f"JOIN {name}m m{j}{i} ON m{j}{i}.image_id = p.image_id AND m{j}{i}.y = p.y{j} AND m{j}{i}.x = p.x{i}" for j in (0, 1) for i in (0, 1))
+    tx, ty = (f"greatest(0, least(1, {at(f'p.{c}')} - p.{c}0))" for c in "xy")
     mid = lambda n: f"(m00.{n} + (m01.{n} - m00.{n}) * {tx}) + ((m10.{n} + (m11.{n} - m10.{n}) * {tx}) - (m00.{n} + (m01.{n} - m00.{n}) * {tx})) * {ty} AS {n}"
-    return f"{name} AS (SELECT p.*, {mid('ga')}, {mid('gb')} FROM pixels p {joins})"
+    return f"{held}, {name} AS MATERIALIZED (SELECT p.* EXCLUDE (y0, y1, x0, x1), {mid('ga')}, {mid('gb')} FROM {name}c p {joins})"
 
 
 _HAZE = [_CELL, *_AIR, _low("d1", "(SELECT sc.*, ay.ar, ay.ag, ay.ab, ay.ay, least(r / ar, g / ag, b / ab) AS d1 FROM sc JOIN ay USING (image_id))", "k2", 2),
@@ -323,22 +324,19 @@ def exif_orientations(s, d):
 
 
 _SRC = "s AS (SELECT image_id, j AS y, i AS x, 8 + (i + 0.5) * 1.5 - 0.5 AS sx, 4 + (j + 0.5) * 1.75 - 0.5 AS sy FROM (SELECT DISTINCT image_id FROM pixels), range(0, 32) t(i), range(0, 32) u(j))"
-_BI = " ".join(f"JOIN pixels p{j}{i} ON p{j}{i}.image_id = s.image_id AND p{j}{i}.y = greatest(0, least(63, floor(sy) + {j})) AND p{j}{i}.x = greatest(0, least(63, floor(sx) + {i}))" for j in (0, 1) for i in (0, 1))
-_MID = lambda c: f"round((p00.{c} + (p01.{c} - p00.{c}) * (sx - floor(sx))) + ((p10.{c} + (p11.{c} - p10.{c}) * (sx - floor(sx))) - (p00.{c} + (p01.{c} - p00.{c}) * (sx - floor(sx)))) * (sy - floor(sy)), 9) + 0.0 AS {c}"
+_TAPS = "tp AS MATERIALIZED (SELECT s.*, " + ", ".join(f"greatest(0, least(m{c}, floor(s{c}) + {k}))::INT AS {c}{k}" for c in "yx" for k in (0, 1)) + " FROM s JOIN n USING (image_id)), px AS MATERIALIZED (SELECT * FROM pixels)"
+_BI = " ".join(f"JOIN px p{j}{i} ON p{j}{i}.image_id = tp.image_id AND p{j}{i}.y = tp.y{j} AND p{j}{i}.x = tp.x{i}" for j in (0, 1) for i in (0, 1))
+_MID = lambda c: f"round((p00.{c} + (p01.{c} - p00.{c}) * (sx - floor(sx))) + ((p10.{c} + (p11.{c} - p10.{c}) * (sx - floor(sx))) - (p00.{c} + (p01.{c} - p00.{c}) * (sx - floor(sx)))) * (sy - floor(sy)), 12) + 0.0 AS {c}"
 
 
-def _whole(df):
-    """Images with all of their rows; the last one of the test tables may lack some."""
-    full = df.groupBy("image_id").count().filter("count = 4096").select("image_id")
-    return df.join(full, "image_id", "left_semi")
+_ENDS = "n AS (SELECT image_id, max(y) AS my, max(x) AS mx FROM pixels GROUP BY image_id)"
 
 
-@query("px_crop", O.with_tables(O.PIXELS, _SRC, body=f"SELECT s.image_id, s.y::INT AS y, s.x::INT AS x, {', '.join(map(_MID, 'rgb'))} FROM s {_BI} WHERE s.image_id IN (SELECT image_id FROM pixels GROUP BY image_id HAVING count(*) = 4096)"))
+@query("px_crop", O.with_tables(O.PIXELS, _SRC, _ENDS, _TAPS, body=f"SELECT tp.image_id, tp.y::INT AS y, tp.x::INT AS x, {', '.join(map(_MID, 'rgb'))} FROM tp {_BI}"))
 def px_crop(s, d):
+    """Every image cut alike; where one ends before its frame does, its last line or column goes on."""
     crop = (8 / 64, 4 / 64, 48 / 64, 56 / 64)
-    return _rounded(G.resampled(_whole(Library(s, d).pixels()), 64, 64, 32, 32, G.mapping(64, 64, crop)), 9)
-
-
+    return _rounded(G.resampled(G.filled(Library(s, d).pixels(), 64, 64), 64, 64, 32, 32, G.mapping(64, 64, crop)), 12)
 
 
 def _parts_sql(axis: str, n: int, m: int) -> str:
