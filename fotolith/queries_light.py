@@ -9,8 +9,10 @@ from .adapters import Library
 from .plans import auto_tone as A
 from .plans import brush as B
 from .plans import detail as D
+from .plans import dust as U
 from .plans import level as L
 from .plans import pixels as P
+from .plans import tiles as T
 from .plans.written import written
 from .queries_pixels import _CM, _E8, _G3, _GS, _LU, _P22, _SM, _TM, _TOP, _Y, _win
 from .registry import query
@@ -168,3 +170,28 @@ def px_auto_setting(s, d):
     sample = written(_sample(Library(s, d)))
     found = A.auto_setting(sample, "exposure").join(A.auto_setting(sample, "contrast"), "image_id")
     return found.select("image_id", *((F.round(n, 4) + 0.0).alias(n) for n in ("exposure", "contrast")))
+
+
+# Dust: skies of three by two test images each, with five spots.
+
+
+def _skies(lib: Library):
+    """Smooth gradients with the test images' own noise, a two-hundredth as strong, and spots of dust at places by image."""
+    pixels = lib.pixels()
+    sizes = T.frames(pixels)
+    wide = pixels.join(sizes, "image_id").withColumn("_i", F.explode(F.array(*map(F.lit, range(3))))).withColumn("_j", F.explode(F.array(*map(F.lit, range(2)))))
+    wide = wide.withColumns({"x": (F.col("x") + F.col("_i") * F.col("width")).cast("int"), "y": (F.col("y") + F.col("_j") * F.col("height")).cast("int")})
+    base = 0.3 + 0.02 * (1.0 - F.col("y") / 128.0) + 0.01 * F.col("x") / 192.0
+    dark = F.lit(1.0)
+    for k in range(5):
+        cx, cy = 20.5 + (F.col("image_id") * 37 + k * 53) % 150, 20.5 + (F.col("image_id") * 29 + k * 31) % 70
+        far = (F.col("x") + 0.5 - cx) * (F.col("x") + 0.5 - cx) + (F.col("y") + 0.5 - cy) * (F.col("y") + 0.5 - cy)
+        dark = dark * (1.0 - (0.08 + 0.03 * k) * F.exp(-far / (2 * (1.4 + 0.15 * k) ** 2)))
+    wide = wide.withColumn("_v", base * (1.0 + (F.col("g") - 0.4) * 0.005) * dark)
+    return wide.select("image_id", "y", "x", (F.col("_v") * 0.7).alias("r"), (F.col("_v") * 0.85).alias("g"), (F.col("_v") * 1.1).alias("b"))
+
+
+@query("px_dust")
+def px_dust(s, d):
+    found = U.find_dust(_skies(Library(s, d)))
+    return found.select("image_id", *(F.round(c, 6).alias(c) for c in ("x", "y", "radius", "darkening", "score")))
