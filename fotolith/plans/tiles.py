@@ -70,6 +70,11 @@ def on_tiles(df: DataFrame, columns: list[str], f: Callable[[Tile], dict[str, np
     return dealt.groupBy("image_id", "_s", "_ty", "_tx").applyInArrow(told, whole)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """The same table with columns of its own, so that it can be grouped together with one that it was made of."""
+    return df.select(*(F.col(c).alias(c) for c in df.columns))
+
+
 def frames(df: DataFrame) -> DataFrame:
     """image_id, width and height, a row for each image."""
     return df.groupBy("image_id").agg((F.max("x") + 1).cast("long").alias("width"), (F.max("y") + 1).cast("long").alias("height"))
