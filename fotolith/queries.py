@@ -609,4 +609,4 @@ def flagship(s: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["search_flagship"](s, sf_dir)
 
 
-from . import queries_changes, queries_light, queries_pixels, queries_retouch, queries_views  # noqa: E402,F401  register their queries
+from . import queries_changes, queries_foreign, queries_light, queries_pixels, queries_retouch, queries_views  # noqa: E402,F401  register their queries
