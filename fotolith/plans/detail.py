@@ -83,6 +83,13 @@ def dehazed(df: DataFrame, size: int, cells: int, amount: float, patch: int = HA
     return P.plan([P.dehaze(amount, t)], held).drop("haze_a", "haze_b", *(f"air_{c}" for c in "rgb"))
 
 
+def surroundings(df: DataFrame, size: int, cells: int, radius: int = MAP_RADIUS) -> DataFrame:
+    """df with `base`, the log2 luminance of each pixel's wide surroundings along edges."""
+    model = tone_map(P.scene_map(df, size, cells), radius).withColumnsRenamed({"a": "tone_a", "b": "tone_b"})
+    held = with_map(df, model, size, cells, ("tone_a", "tone_b"))
+    return held.withColumn("base", F.col("tone_a") * log_luma(rgb()) + F.col("tone_b")).drop("tone_a", "tone_b")
+
+
 def toned(df: DataFrame, size: int, cells: int, shadows: float, highlights: float, radius: int = MAP_RADIUS) -> DataFrame:
     """Shadows and highlights by the brightness of a pixel's surroundings."""
     model = tone_map(P.scene_map(df, size, cells), radius).withColumnsRenamed({"a": "tone_a", "b": "tone_b"})
@@ -162,13 +169,17 @@ def quiet_colour(df: DataFrame, amount: float, radius: int = 2) -> DataFrame:
     return df.withColumns(out).drop(*names, *(f"{p}{k}{c}" for p in ("_", "box__") for k in "ao" for c in "rb"))
 
 
-def detailed(df: DataFrame, width: int, height: int, texture: float = 0, clarity: float = 0, sharpening: float = 0, noise: float = 0) -> DataFrame:
-    """Images after texture, clarity (against the blur itself), sharpening and noise reduction of the luminance."""
+def detailed(df: DataFrame, width: int, height: int, texture: float = 0, clarity: float | Column = 0, sharpening: float = 0, noise: float = 0, base: str | None = None) -> DataFrame:
+    """Images after texture, clarity, sharpening and noise reduction of the luminance.
+
+    Clarity works against the column base, the log2 luminance of a pixel's wide surroundings (surroundings()), and does nothing without one.
+    """
     df = df.withColumn("_l", log_luma(rgb()))
     df = denoised(df, "_l", noise, radius_of(width, height, NOISE_SHARE, 16)) if noise else df.withColumn("quiet__l", F.col("_l"))
     df = binomial(blurred(df, "quiet__l", radius_of(width, height)), "quiet__l")
     small = F.col("blur_quiet__l")
-    stops = clamp(F.col("quiet__l") - F.col("_l") + gain_stops(texture, clarity, sharpening, F.col("quiet__l"), small, small, F.col("sharp_quiet__l")), -MOST_STOPS, MOST_STOPS)
+    wide = small if base is None else F.col(base)
+    stops = clamp(F.col("quiet__l") - F.col("_l") + gain_stops(texture, clarity, sharpening, F.col("quiet__l"), small, wide, F.col("sharp_quiet__l")), -MOST_STOPS, MOST_STOPS)
     df = df.withColumn("_gain", F.pow(F.lit(2.0), stops))
     return df.withColumns({c: F.col(c) * F.col("_gain") for c in "rgb"}).drop("_gain", "_l", "quiet__l", "blur_quiet__l", "sharp_quiet__l")
 

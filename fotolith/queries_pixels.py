@@ -275,6 +275,26 @@ def px_texture(s, d):
     return _rounded(D.detailed(Library(s, d).pixels(), 64, 64, texture=60), 5)
 
 
+_CL = "cl AS MATERIALIZED (SELECT b2.*, -tn.below AS base FROM b2 JOIN tn USING (image_id, y, x))"
+_MEDIUM = f"({_SM('0.0', '1.5', '-l')} * (1 - {_SM('7.0', '11.0', '-l')}) * (s1_m - base))"
+
+
+@query("px_clarity", O.with_tables(O.PIXELS, _LY, _B2, *_TM, _CL, body=_channels("cl", 5, **{c: f"{c} * pow(2::DOUBLE, greatest(-1.5, least(1.5, 0.7 * 2.0 * {_MEDIUM})))" for c in "rgb"})))
+def px_clarity(s, d):
+    held = D.surroundings(Library(s, d).pixels(), 64, 16, radius=3)
+    return _rounded(D.detailed(held, 64, 64, clarity=70, base="base"), 5)
+
+
+# A clarity of its own within an ellipse, as a mask's adjustment.
+
+
+@query("mask_local_clarity", O.with_tables(O.PIXELS, _LY, _B2, *_TM, _CL, body=_channels("cl", 5, **{c: f"{c} * pow(2::DOUBLE, greatest(-1.5, least(1.5, (0.2 + 0.6 * (1 - {_SM('0.6', '1.0', _EL)})) * 2.0 * {_MEDIUM})))" for c in "rgb"})))
+def mask_local_clarity(s, d):
+    inside = C.radial_mask((0.4, 0.6), (0.3, 0.2), 30, 40, 64, 64)
+    held = D.surroundings(Library(s, d).pixels(), 64, 16, radius=3)
+    return _rounded(D.detailed(held, 64, 64, clarity=20.0 + inside * 60.0, base="base"), 5)
+
+
 @query("px_sharpening", O.with_tables(O.PIXELS, _LY, _B2, _BIN, body=_channels("bh", 5, **{c: f"{c} * pow(2::DOUBLE, greatest(-0.5, least(0.5, {_FADE} * 0.8 * 1.5 * (l - sharp))))" for c in "rgb"})))
 def px_sharpening(s, d):
     return _rounded(D.detailed(Library(s, d).pixels(), 64, 64, sharpening=80), 5)
