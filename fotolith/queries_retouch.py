@@ -8,10 +8,11 @@ from . import oracle as O
 from .adapters import Library
 from .plans import fringes as C
 from .plans import lens as N
+from .plans import redeye as E
 from .plans import retouch as R
 from .plans import tiles as T
 from .plans.sampling import gathered
-from .queries_pixels import _rounded
+from .queries_pixels import _SM, _rounded, _win
 from .registry import query
 
 _FRAMES = "fr AS MATERIALIZED (SELECT image_id, max(x) + 1 AS w, max(y) + 1 AS h FROM pixels GROUP BY image_id), px AS MATERIALIZED (SELECT * FROM pixels)"
@@ -121,3 +122,36 @@ def px_find_source(s, d):
     spots = _spots(sized, "heal")
     found = R.find_sources(pixels, sized, spots.select("image_id", "nth", "x", "y", "radius"), spots.filter("nth = 2").select("image_id", "x", "y", "radius"))
     return found.select("image_id", "nth", *(F.round(c, 6).alias(c) for c in ("source_x", "source_y", "cost")))
+
+
+# Red eyes: a pupil planted in each image.
+
+_EYE = ("ey AS (SELECT *, 20.5 + image_id * 7 % 24 AS cx, 16.5 + image_id * 5 % 20 AS cy FROM pixels), pl AS MATERIALIZED (SELECT image_id, y, x, cx, cy, q, CASE WHEN q <= 4 THEN 0.6 ELSE r END::DOUBLE AS r, CASE WHEN q <= 4 THEN 0.05 + 0.05 * g ELSE g END::DOUBLE AS g, CASE WHEN q <= 4 THEN 0.08 ELSE b END::DOUBLE AS b "
+        "FROM (SELECT *, sqrt(pow(x + 0.5 - cx, 2) + pow(y + 0.5 - cy, 2)) AS q FROM ey)), "
+        f"rd AS MATERIALIZED (SELECT *, (1 - {_SM('0.75', '1.0', '(q / 6.4)')}) * {_SM('0.43', '0.6', '(CASE WHEN r < 0.002 THEN 0 ELSE greatest(0, (r - greatest(g, b)) / r) END)')} AS own FROM pl WHERE x >= floor(cx - 6.4) AND x < ceil(cx + 6.4) AND y >= floor(cy - 6.4) AND y < ceil(cy + 6.4)), "
+        + _win(["own"], "rd", "rs", 1) + ", ra AS MATERIALIZED (SELECT *, (own + own_m) / 2 AS a FROM rs), rb AS MATERIALIZED (SELECT *, greatest(0.625, least(1, 1 - 0.375 * own / greatest(a, 0.000001))) AS sh, (g + b) / 2 AS pr FROM ra WHERE a > 0)")
+_FIXED = ", ".join(f"CASE WHEN a IS NULL THEN pl.{c} ELSE floor(greatest(0, least(1, rb.{c} + ({v} * sh - rb.{c}) * a)) * 65535 + 0.5) / 65535 END AS {c}" for c, v in (("r", "pr"), ("g", "rb.g"), ("b", "rb.b")))
+
+
+def _red(s, d):
+    pixels = Library(s, d).pixels()
+    cx, cy = 20.5 + F.col("image_id") * 7 % 24, 16.5 + F.col("image_id") * 5 % 20
+    near = F.hypot(F.col("x") + 0.5 - cx, F.col("y") + 0.5 - cy) <= 4
+    made = pixels.withColumns({"r": F.when(near, 0.6).otherwise(F.col("r")), "g": F.when(near, 0.05 + 0.05 * F.col("g")).otherwise(F.col("g")), "b": F.when(near, 0.08).otherwise(F.col("b"))})
+    # The frame is 64 by 64 for the last image too, which may have fewer lines.
+    sized = T.frames(pixels).select("image_id", F.lit(64).cast("long").alias("width"), F.lit(64).cast("long").alias("height"))
+    return made, sized, sized.select("image_id", F.lit(0).cast("long").alias("nth"), (cx / 64.0).alias("x"), (cy / 64.0).alias("y"))
+
+
+@query("px_red_eye", O.with_tables(O.PIXELS, _EYE, f"fx AS (SELECT pl.image_id, pl.y, pl.x, {_FIXED} FROM pl LEFT JOIN rb USING (image_id, y, x))", body="SELECT image_id, y, x, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in "rgb") + " FROM fx"))
+def px_red_eye(s, d):
+    made, sized, eyes = _red(s, d)
+    return _rounded(E.corrected(made, sized, eyes.select("*", F.lit(0.1).alias("radius"), F.lit(50.0).alias("pupil"), F.lit(50.0).alias("darken"))))
+
+
+@query("px_red_eye_find")
+def px_red_eye_find(s, d):
+    """Pupils found from a click three pixels beside them."""
+    made, sized, eyes = _red(s, d)
+    found = E.find(made, sized, eyes.select("image_id", "nth", (F.col("x") + 3 / 64).alias("x"), "y", F.lit(0.15).alias("search")))
+    return found.select("image_id", *(F.round(c, 6).alias(c) for c in ("x", "y", "radius")))
