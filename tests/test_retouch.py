@@ -233,3 +233,60 @@ def test_sources_equal_brute_force(spark):
     got = {(r.image_id, r.nth): tuple(r)[2:] for r in R.find_sources(df, T.frames(df), spark.createDataFrame(wanted, "image_id long, nth long, x double, y double, radius double"), spark.createDataFrame(avoid, "image_id long, x double, y double, radius double")).collect()}
     for i, n, x, y, radius in wanted:
         assert got.get((i, n)) == pytest.approx(source_by_hand(images[i], x, y, radius, [a[1:] for a in avoid if a[0] == i]), abs=1e-9)
+
+
+# Red eyes.
+
+
+def eyes_by_hand(p, eyes):
+    p = p.copy()
+    h, w, _ = p.shape
+    step = lambda a, b, v: (lambda t: t * t * (3 - 2 * t))(min(1.0, max(0.0, (v - a) / (b - a))))
+    for x, y, radius, pupil, darken in eyes:
+        cx, cy, r, t, dark = x * w, y * h, max(1.5, radius * max(w, h)), 0.65 - 0.2 * pupil / 100, 1 - 0.75 * darken / 100
+        box = [(j, i) for j in range(max(0, math.floor(cy - r)), min(h, math.ceil(cy + r))) for i in range(max(0, math.floor(cx - r)), min(w, math.ceil(cx + r)))]
+        red = lambda v: 0.0 if v[0] < 0.002 else max(0.0, (v[0] - max(v[1], v[2])) / v[0])
+        own = {(j, i): (1 - step(0.75, 1.0, math.hypot(i + 0.5 - cx, j + 0.5 - cy) / r)) * step(t - 0.12, t + 0.05, red(p[j, i])) for j, i in box}
+        old = p.copy()
+        for j, i in box:
+            near = [own[j + a, i + b] for a in (-1, 0, 1) for b in (-1, 0, 1) if (j + a, i + b) in own]
+            a = (own[j, i] + np.mean(near)) / 2
+            if a > 0:
+                _, g, b = old[j, i]
+                shade = min(1.0, max(dark, 1 - (1 - dark) * own[j, i] / max(a, 1e-6)))
+                p[j, i] = np.floor(np.clip(old[j, i] + (np.array([(g + b) / 2, g, b]) * shade - old[j, i]) * a, 0, 1) * 65535 + 0.5) / 65535
+    return p
+
+
+def face(h, w, pupils):
+    p = np.array([0.5, 0.35, 0.25]) * (0.9 + 0.1 * RNG.random((h, w, 1)))
+    y, x = np.mgrid[:h, :w] + 0.5
+    for cx, cy, r in pupils:
+        inside = np.hypot(x - cx, y - cy) <= r
+        p[inside] = np.array([0.6, 0.05, 0.08]) * (0.8 + 0.2 * RNG.random((inside.sum(), 1)))
+        p[int(cy), int(cx)] = 0.9  # a catchlight
+    return p
+
+
+def test_red_eyes_are_found_and_corrected(spark):
+    from fotolith.plans import redeye as E
+
+    images = {1: face(80, 120, [(40, 30, 5), (75, 32, 4), (47, 34, 3)]), 2: face(60, 60, [(2, 58, 4)]), 3: face(40, 40, [])}
+    df = pixels(spark, images)
+    clicks = [(1, 0, 38 / 120, 33 / 80, 0.1), (1, 1, 0.6, 0.4, 0.1), (1, 2, 0.1, 0.1, 0.05), (2, 0, 0.0, 1.0, 0.2), (3, 0, 0.5, 0.5, 0.2)]
+    got = {(r.image_id, r.nth): r for r in E.find(df, T.frames(df), spark.createDataFrame(clicks, "image_id long, nth long, x double, y double, search double")).collect()}
+    assert sorted(got) == [(1, 0), (1, 1), (2, 0)]
+    red = lambda p: (p[..., 0] - np.maximum(p[..., 1], p[..., 2])) / p[..., 0] >= 0.55
+    inside = red(images[1])
+    y, x = np.nonzero(inside)
+    one = np.hypot(x + 0.5 - 75, y + 0.5 - 32) <= 6
+    e = got[1, 1]
+    assert (e.x, e.y, e.radius) == pytest.approx(((x[one] + 0.5).mean() / 120, (y[one] + 0.5).mean() / 80, (math.sqrt(one.sum() / math.pi) * 1.5 + 1) / 120))
+    eyes = {1: [(40 / 120, 30 / 80, 0.07, 50.0, 50.0), (47 / 120, 34 / 80, 0.05, 80.0, 100.0), (75 / 120, 32 / 80, 0.06, 0.0, 20.0)], 2: [(0.02, 0.97, 0.1, 50.0, 50.0)]}
+    rows = [(i, n, *e) for i, some in eyes.items() for n, e in enumerate(some)] + [(3, 0, None, None, None, None, None)]
+    fixed = E.corrected(df, T.frames(df), spark.createDataFrame(rows, "image_id long, nth long, x double, y double, radius double, pupil double, darken double"))
+    assert fixed.count() == 80 * 120 + 3600 + 1600
+    for i, some in ((1, eyes[1]), (2, eyes[2]), (3, [(0.5, 0.5, 0.01, 50.0, 50.0)])):
+        apart = np.abs(image_of(fixed, i, *images[i].shape[:2]) - eyes_by_hand(images[i], some))
+        assert apart.max() < 1.1 / 65535 and (i == 1 or apart.max() < 1e-9)  # where circles overlap, the mean of two levels may lie between two
+    assert red(image_of(fixed, 1, 80, 120))[25:39, 68:82].sum() < 0.5 * red(images[1])[25:39, 68:82].sum()
