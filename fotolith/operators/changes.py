@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import recipe as R
+
 from ..functions.text import KEYWORD_CHARS, ascii_lower, name_of, tidy
 
 MARKS = ("rating", "flag", "label")
@@ -185,6 +187,15 @@ def save_edits(edits: DataFrame, new: DataFrame, now: int, version: int) -> Data
     return out.filter("recipe IS NOT NULL")
 
 
+def save_recipes(edits: DataFrame, new: DataFrame, now: int) -> DataFrame:
+    """save_edits() of recipes (photo_id, recipe as JSON) that aren't taken on trust: read, put in range, told whether they change anything, and kept as one text for one edit.
+
+    Recipes that can't be read, or are of a newer version, are left out.
+    """
+    read = new.select("photo_id", R.parsed(F.col("recipe")).alias("_r")).filter("_r IS NOT NULL")
+    return save_edits(edits, read.select("photo_id", R.to_json(F.col("_r")).alias("recipe"), R.is_identity(F.col("_r")).alias("plain")), now, R.VERSION)
+
+
 def refused(edits: DataFrame, new: DataFrame, version: int) -> DataFrame:
     """The photos (photo_id) of new whose edit is of a newer version."""
     return new.select("photo_id").join(edits.filter(F.col("recipe_version") > version).select("photo_id"), "photo_id", "left_semi")

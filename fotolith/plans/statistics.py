@@ -49,9 +49,15 @@ def share(coverage: DataFrame) -> DataFrame:
 
 
 def pace(renders: DataFrame, weight: float = 0.3) -> DataFrame:
-    """viewer and cost, milliseconds for each megapixel as a moving mean in which each render (viewer, nth, ms, megapixels) takes part by weight."""
+    """viewer and cost, milliseconds for each megapixel as a moving mean in which each render (viewer, nth, ms, megapixels) takes part by weight.
+
+    Renders so long ago that what is left of them is less than doubles tell aren't held: a viewer's list is bounded by the weight.
+    """
+    most = 1 if weight >= 1 else math.ceil(math.log(1e-18) / math.log(1 - weight)) + 1
     kept = renders.filter((F.col("megapixels") > 0) & ~F.isnan("ms") & (F.abs("ms") != float("inf")))
-    runs = kept.groupBy("viewer").agg(F.array_sort(F.collect_list(F.struct("nth", (F.col("ms") / F.col("megapixels")).alias("cost")))).alias("runs"))
+    kept = kept.select("viewer", "nth", (F.col("ms") / F.col("megapixels")).alias("cost"))
+    last = kept.withColumn("_n", F.row_number().over(Window.partitionBy("viewer").orderBy(F.col("nth").desc(), F.col("cost").desc()))).filter(F.col("_n") <= most)
+    runs = last.groupBy("viewer").agg(F.array_sort(F.collect_list(F.struct("nth", "cost"))).alias("runs"))
     step = lambda s, r: F.coalesce(s + (r["cost"] - s) * weight, r["cost"])
     return runs.select("viewer", F.aggregate("runs", F.lit(None).cast("double"), step).alias("cost"))
 

@@ -192,6 +192,23 @@ def save_edits(s, d):
     return changes.save_edits(last, new, NOW_MS, R.VERSION)
 
 
+_ZEROS = "".join(f',"{k}":0.0' for k in ("highlights", "shadows", "whites", "blacks", "dehaze", "temperature", "tint", "vibrance", "saturation", "texture", "clarity", "vignette"))
+_TEXT = f"""'{{"version":33,"look":"standard","exposure":' || greatest(-5, least(5, e))::DOUBLE || ',"contrast":' || least(100, c)::DOUBLE || '{_ZEROS},"sharpening":40.0,"noiseReduction":0.0,"grain":0.0,"whitesFromSensor":false,"profileCorrections":true,"profileWithoutChromaticAberration":false,"unoriented":false}}'"""
+_TAKEN = f"CASE WHEN 30 + o.photo_id % 6 > {R.VERSION} OR n.id IS NULL THEN 'old' WHEN e = 0 AND c = 0 THEN 'gone' ELSE 'new' END"
+
+
+@query("save_recipes", O.with_tables(O.EDITS, body=f"""SELECT photo_id, recipe_version, recipe, updated_at_ms FROM (SELECT coalesce(o.photo_id, n.id) AS photo_id, {_TAKEN} AS how, CASE WHEN {_TAKEN} = 'new' THEN 33 ELSE 30 + o.photo_id % 6 END AS recipe_version,
+CASE WHEN {_TAKEN} = 'new' THEN {_TEXT} ELSE '{{"version":' || (30 + o.photo_id % 6) || '}}' END AS recipe, CASE WHEN {_TAKEN} = 'new' THEN {NOW_MS} ELSE o.updated_at_ms END AS updated_at_ms
+FROM edits o FULL JOIN (SELECT o_orderkey AS id, o_orderkey % 15 - 7 AS e, o_orderkey % 7 * 50 AS c FROM orders WHERE o_orderkey % 4 < 2) n ON n.id = o.photo_id) WHERE how <> 'gone'"""))
+def save_recipes(s, d):
+    """Recipes with values out of range, some that change nothing, some unreadable, and some of a newer version."""
+    lib = Library(s, d)
+    last, _ = _edits(lib)
+    said = "CASE photo_id % 4 WHEN 2 THEN 'no recipe' WHEN 3 THEN '{\"version\":99,\"exposure\":1}' ELSE concat('{\"exposure\":', photo_id % 15 - 7, ',\"contrast\":', photo_id % 7 * 50, ',\"unknown\":1}') END"
+    new = lib.photos().selectExpr("id AS photo_id").selectExpr("photo_id", f"{said} AS recipe")
+    return changes.save_recipes(last, new, NOW_MS)
+
+
 @query("save_edits_refused", O.with_tables(O.EDITS, body="SELECT photo_id FROM edits WHERE 30 + photo_id % 6 > 33 AND photo_id % 2 = 0 AND photo_id IN (SELECT o_orderkey FROM orders)"))
 def save_edits_refused(s, d):
     last, new = _edits(Library(s, d))
