@@ -38,6 +38,8 @@ WIDEN, LONG = 32, 1024
 #: Blocks of columns over which overlaps are summed, by the first bits of the hash.
 BLOCK_BITS = 2
 BLOCKS = 1 << BLOCK_BITS
+#: Stands for a null doc_id where entries are told by it and their set's name.
+NO_ID = -(1 << 63)
 
 
 def _grams(w: Words, n: int) -> list[np.ndarray]:
@@ -169,16 +171,23 @@ def _prefixes(n: int, share: int, late):
 
 
 def _sets(n: int):
-    """doc_id, text to the set's name and its entries in each block of columns."""
+    """doc_id, text to id (doc_id, NO_ID for null), the set's name and its entries in each block of columns; rows that repeat within a task are told once."""
     edges = np.arange(1, BLOCKS, dtype=U) << U(64 - BLOCK_BITS)
 
     def run(batches):
+        seen: set[tuple[int, bytes]] = set()
+
         def each(w, ids):
-            sets = _grams(w, n)
-            size = np.stack([np.diff(np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])) for s in sets]).reshape(-1)
+            ids = ids[0].fill_null(NO_ID).to_pylist()
+            grams = _grams(w, n)
+            fresh = {k: s for k, s in zip(zip(ids, map(_name, grams), strict=True), grams, strict=True) if k not in seen}
+            seen.update(fresh)
+            size = np.array([np.diff(np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])) for s in fresh.values()], np.int64).reshape(-1)
             bound = np.concatenate([[0], np.cumsum(size)])
-            names = pa.array(map(_name, sets), pa.binary()).take(pa.array(np.repeat(np.arange(len(sets)), BLOCKS)))
-            return pa.RecordBatch.from_arrays([names, pa.array(np.tile(np.arange(BLOCKS, dtype=np.int32), len(sets))), lists(signed(np.concatenate(sets)), bound, pa.int64())], ["cls", "block", "entries"])
+            each_block = pa.array(np.repeat(np.arange(len(fresh)), BLOCKS))
+            told = [pa.array([k[i] for k in fresh], kind).take(each_block) for i, kind in enumerate((pa.int64(), pa.binary()))]
+            flat = signed(np.concatenate([np.zeros(0, U), *fresh.values()]))
+            return pa.RecordBatch.from_arrays([*told, pa.array(np.tile(np.arange(BLOCKS, dtype=np.int32), len(fresh))), lists(flat, bound, pa.int64())], ["id", "cls", "block", "entries"])
 
         yield from _texts(batches, each)
 
@@ -207,20 +216,29 @@ def _product(pairs: DataFrame, docs: DataFrame, told: DataFrame, n: int, share:
     """The pairs (a, b) of rows whose overlap, summed over all blocks of columns, reaches the similarity. Entries are read from the texts again."""
     names = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
     inside = scratch.table(told.select("row", "cls", "doc_id", "n").join(names, "row", "left_semi"))
-    bits = bits_for(inside.count())
-    again = passing(docs, "doc_id", within=bitmap(inside, "doc_id", bits=bits), bits=bits).mapInArrow(_sets(n), "cls binary, block int, entries array<long>")
-    entries = scratch.table(again.join(inside.select("cls", "row").hint("shuffle_hash"), "cls").select("row", "block", "entries"))
-    a, b = (entries.select(F.col("row").alias(x), "block", F.col("entries").alias(f"in_{x}")) for x in "ab")
-    size = [inside.select(F.col("row").alias(x), F.col("n").alias(f"n_{x}"), F.col("n").alias(f"left_{x}")) for x in "ab"]
+    bits, key = bits_for(inside.count()), ["id", "cls"]
+    # Entries go by doc_id and the set's name, so that no join is needed to tell their row; copies that pass by chance are met by no pair.
+    again = passing(docs, "doc_id", within=bitmap(inside, "doc_id", bits=bits), bits=bits).mapInArrow(_sets(n), "id long, cls binary, block int, entries array<long>")
+    entries = scratch.table(passing(again, *key, within=bitmap(inside.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))), *key, bits=bits), bits=bits))
+    size = [inside.select(F.col("row").alias(x), F.coalesce("doc_id", F.lit(NO_ID)).alias(f"id_{x}"), F.col("cls").alias(f"cls_{x}"), F.col("n").alias(f"n_{x}"), F.col("n").alias(f"left_{x}")) for x in "ab"]
     held = pairs.select("a", "b", F.lit(0).cast("long").alias("overlap")).join(size[0], "a").join(size[1], "b")
-    by = ["a", "b", "n_a", "n_b", "overlap", "left_a", "left_b"]
-    # The first block alone rules most pairs out that the sketches let pass; the others are summed at once.
+    pair = ["a", "b", "id_a", "id_b", "cls_a", "cls_b", "n_a", "n_b"]
+    by = [*pair, "overlap", "left_a", "left_b"]
+    # The first block alone rules most pairs out that the sketches let pass; the others are summed at once, of the sets that are left.
     for blocks in ([0], [*range(1, BLOCKS)]):
+        some = entries.filter(F.col("block").isin(blocks))
+        if blocks[0]:
+            left = held.select(F.col("id_a").alias("id"), F.col("cls_a").alias("cls")).union(held.select("id_b", "cls_b"))
+            some = passing(some, *key, within=bitmap(left, *key, bits=bits), bits=bits)
+        a, b = (some.select(F.col("id").alias(f"id_{x}"), F.col("cls").alias(f"cls_{x}"), "block", F.col("entries").alias(f"in_{x}")) for x in "ab")
         asked = held.select(*by, F.explode(F.array(*map(F.lit, blocks))).alias("block"))
-        met = asked.join(a, ["a", "block"]).join(b, ["b", "block"])
-        sums = {"more": F.size(F.array_intersect("in_a", "in_b")), "out_a": F.size("in_a"), "out_b": F.size("in_b")}
-        counted = met.groupBy(*by).agg(*(F.sum(c.cast("long")).alias(k) for k, c in sums.items()))
-        counted = counted.select("a", "b", "n_a", "n_b", (F.col("overlap") + F.col("more")).alias("overlap"), (F.col("left_a") - F.col("out_a")).alias("left_a"), (F.col("left_b") - F.col("out_b")).alias("left_b"))
+        met = asked.join(a, ["id_a", "cls_a", "block"]).join(b, ["id_b", "cls_b", "block"])
+        counts = {"more": F.size(F.array_intersect("in_a", "in_b")), "out_a": F.size("in_a"), "out_b": F.size("in_b")}
+        met = met.select(*by, "block", *(c.cast("long").alias(k) for k, c in counts.items()))
+        # A block counts once, however often its entries were read.
+        sums = {k: sum(F.max(F.when(F.col("block") == block, F.col(k))) for block in blocks) for k in counts}
+        counted = met.groupBy(*by).agg(*(c.alias(k) for k, c in sums.items()))
+        counted = counted.select(*pair, (F.col("overlap") + F.col("more")).alias("overlap"), (F.col("left_a") - F.col("out_a")).alias("left_a"), (F.col("left_b") - F.col("out_b")).alias("left_b"))
         held = scratch.table(counted.filter(f"{100 + share} * (overlap + least(left_a, left_b)) >= {share} * (n_a + n_b)"))
     scratch.drop(inside, entries)
     return held.select("a", "b")

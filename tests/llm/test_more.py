@@ -204,3 +204,12 @@ def test_components(spark, monkeypatch, few):
     got = module.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()
     assert {r.node: r.root for r in got} == {x: root[x] for x in linked}
     assert module.components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).count() == 0
+
+
+def test_tied_ids_and_copies_link_once(spark):
+    """Rows that repeat with their doc_id, or without one, count their overlap once: texts below the bound stay apart."""
+    base = [f"w{k}" for k in range(60)]
+    near, far = base[:58] + ["x", "y"], base[:40] + [f"z{k}" for k in range(20)]
+    rows = [(7, " ".join(base))] * 40 + [(7, " ".join(near))] * 40 + [(None, " ".join(far))] * 40 + [(9, " ".join(far[:39]))]
+    got = ngram_classes(frame(spark, rows), 3, 80).select("doc_id", "n_grams", "component_id").collect()
+    assert sorted(map(tuple, got), key=key) == brute_components(rows, 3, 80)
