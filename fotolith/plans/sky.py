@@ -177,8 +177,9 @@ def sky_masks(df: DataFrame, exposures: DataFrame | None = None, fine_edge: int
     (image_id, scene_ev) tells how bright mid-grey was; without it, or where it is null, only bright blue skies are found. Photos
     longer than fine_edge get masks of about that size. No photos give no rows.
     """
-    fine = _fine(df.select("image_id", "y", "x", "r", "g", "b"), fine_edge, grid_edge)
-    cells = _cells(fine, exposures)
+    # Both are read more than once.
+    fine = written(_fine(df.select("image_id", "y", "x", "r", "g", "b"), fine_edge, grid_edge))
+    cells = written(_cells(fine, exposures).drop("texture", "ev"))
     of = ["image_id", "cy", "cx", "kind", "known", *(f"{c}_{k}" for k in ("sky", "all") for c in ("r", "g", "b", "light"))]
     grown = cells.select(*of).groupBy("image_id").applyInArrow(_grown, "image_id long, cy long, cx long, kind int, bits int")
     tones = cells.select(*(F.col(c).alias(c) for c in ("image_id", "cy", "cx", "luma_dark", "luma_bright")))
