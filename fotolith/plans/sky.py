@@ -1,6 +1,6 @@
 """Sky masks: the sky is found on a grid of cells by its look and its place, and its edges are moved onto the photo's.
 
-Cells are aggregates over pixels. A photo's grid has about `grid_edge` cells along its long side, whatever the photo's size, so that growing the
+Cells are aggregates over pixels. A photo's grid has about `grid_edge` cells along its long side (half as many again at most), whatever the photo's size, so that growing the
 sky over it is bounded work for each photo; pixels are met again by a join with their own cell and refined tile by tile.
 """
 
