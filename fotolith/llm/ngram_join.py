@@ -194,13 +194,27 @@ def _sets(n: int):
     return run
 
 
+def _alike(a: str, b: str, share: int) -> str:
+    """Whether the sketches of rows of n_a and n_b n-grams leave them as a pair."""
+    apart = " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(SKETCH // 64))
+    return f"{100 + share} * ({apart}) <= {100 - share} * (n_a + n_b)"
+
+
 def _within(pairs: DataFrame, told: DataFrame, share: int) -> DataFrame:
     """The pairs (a, b) of rows that the bounds on sizes and sketches leave."""
     a = told.select(F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
     b = told.select(F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
     both = pairs.join(a, "a").join(b, "b").filter(_near("n_a", "n_b", share))
-    apart = "aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-    return both.filter(f"{100 + share} * {apart} <= {100 - share} * (n_a + n_b)").select("a", "b")
+    return both.filter(_alike("sketch_a", "sketch_b", share)).select("a", "b")
+
+
+def _distinct_columns(entries: DataFrame, scratch: Scratch) -> DataFrame:
+    """Entries (col, row, place, m) of columns of m rows to those of columns that differ in their rows, with the first row and how many columns are
+    the same. Of columns of the same rows the first in the order stays: in every row its place is before those of the others."""
+    told = F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("y")
+    columns = entries.groupBy("col", "m").agg(F.min("row").alias("first"), *told)
+    columns = columns.groupBy("m", "first", "x", "y").agg(F.min("col").alias("col"), F.count("*").alias("same"))
+    return scratch.table(entries.join(columns.select("col", "first", "same"), "col"))
 
 
 def _first_columns(n: str, share: int) -> Column:
@@ -279,24 +293,23 @@ def ngram_classes(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
 
 def _roots(spark: SparkSession, scratch: Scratch, docs: DataFrame, lead: DataFrame, n: int, share: int) -> DataFrame:
     """(node, root) of the rows of lead, one for each class, that link with another."""
-    # The entries of the product in columns that two rows share, and the first row of each column.
-    entries = lead.select("row", F.explode(F.slice("first", F.lit(1), _first_columns("n", share))).alias("col"))
-    columns = entries.groupBy("col").agg(F.count("*").alias("m"), F.min("row").alias("b")).filter("m > 1")
-    shared = scratch.table(entries.join(columns, "col").select("col", "row", "m", "b"))
+    # The entries of the product in columns that two rows share, with their places among their row's columns.
+    entries = lead.select("row", F.posexplode(F.slice("first", F.lit(1), _first_columns("n", share))).alias("place", "col"))
+    columns = entries.groupBy("col").agg(F.count("*").alias("m")).filter("m > 1")
+    every = scratch.table(entries.join(columns, "col").select("col", "row", "place", "m"))
+    shared = _distinct_columns(every, scratch)
+    scratch.drop(every)
     told = scratch.table(lead.select("row", "cls", "doc_id", "n", "sketch").join(shared.select("row").distinct(), "row", "left_semi"))
-    # A quarter of the cells, as the parity of four each, is asked where columns meet.
-    quarter = SKETCH // 256
-    fold = [F.expr(" ^ ".join(f"sketch[{i * quarter + k}]" for k in range(quarter))).alias(f"s{i}") for i in range(4)]
-    brief = told.select("row", "n", *fold)
+    brief = told.select("row", "n", "sketch")
     # First the partner that most columns name, one for each row.
-    votes = shared.filter("row != b").groupBy("row", "b").agg(F.count("*").alias("votes"))
-    best = votes.groupBy(F.col("row").alias("a")).agg(F.max(F.struct("votes", "b")).alias("v")).select("a", "v.b")
+    votes = shared.filter("row != first").groupBy("row", "first").agg(F.sum("same").alias("votes"))
+    best = votes.groupBy(F.col("row").alias("a")).agg(F.max(F.struct("votes", F.col("first").alias("b"))).alias("v")).select("a", "v.b")
     tested = scratch.table(_within(best, told, share))
     links = _product(tested, docs, told, n, share, scratch)
+    roots, longest = components(links, scratch), shared.agg(F.max("m")).first()[0] or 0
     pivots, parted = 0, False
-    while True:
-        roots = components(links, scratch)
-        held = shared.select("col", "row", "m").filter(F.col("m") > pivots).join(roots.select(F.col("node").alias("row"), "root"), "row", "left")
+    while pivots < longest:
+        held = shared.select("col", "row", "place", "m").filter(F.col("m") > pivots).join(roots.select(F.col("node").alias("row"), "root"), "row", "left")
         held = held.withColumn("root", F.coalesce("root", "row"))
         # Columns whose rows have different roots, and were not counted in full before. Rows of a column's main root needn't ask, only answer.
         shares = held.groupBy("col", "root").agg(F.count("*").alias("n")).groupBy("col").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
@@ -307,21 +320,26 @@ def _roots(spark: SparkSession, scratch: Scratch, docs: DataFrame, lead: DataFra
             second = wide.join(lead.select("row", F.explode("first").alias("other")), "row").filter("col != other")
             second = second.select("row", F.xxhash64(F.least("col", "other"), F.greatest("col", "other")).alias("col")).distinct()
             columns = second.groupBy("col").agg(F.count("*").alias("m")).filter("m > 1")
-            shared, pivots, parted = scratch.table(second.join(columns, "col").select("col", "row", "m")), 0, True
+            every = scratch.table(second.join(columns, "col").select("col", "row", F.lit(0).alias("place"), "m"))
+            shared, pivots, parted = _distinct_columns(every, scratch), 0, True
+            scratch.drop(every)
+            longest = shared.agg(F.max("m")).first()[0] or 0
             continue
         pivots = max(1, pivots) * WIDEN
         chance = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) * F.col("m") < F.lit(pivots * (1 << 30))
         rest = held.join(open_, "col").filter((F.col("root") != F.col("main")) | chance)
-        rest = scratch.table(rest.select("col", "row", "root", (F.col("root") != F.col("main")).alias("asks"), chance.alias("answers")).join(brief, "row"))
+        rest = rest.select("col", "row", "place", "root", (F.col("root") != F.col("main")).alias("asks"), chance.alias("answers"))
+        rest = scratch.table(rest.join(brief, "row"))
         if rest.isEmpty():
             return roots
-        chosen = rest.filter("answers").select("col", F.col("row").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), *(F.col(f"s{i}").alias(f"t{i}") for i in range(4)))
-        apart = " + ".join(f"bit_count(s{i} ^ t{i})" for i in range(4))
-        near = rest.filter("asks").join(chosen, "col").filter(f"row != b AND root != root_b AND {100 + share} * ({apart}) <= {100 - share} * (n + n_b)").filter(_near("n", "n_b", share))
-        near = near.select(F.least("row", "b").alias("a"), F.greatest("row", "b").alias("b")).distinct()
-        near = near.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        pairs = scratch.table(_within(near, told, share))
+        sides = [rest.filter(asked).select("col", *(F.col(c).alias(f"{c}_{x}") for c in ("row", "place", "root", "n", "sketch"))) for x, asked in (("a", "asks"), ("b", "answers"))]
+        # Before the first column that a pair shares, neither row can have so many that too few are left; this bounds the sizes, too.
+        met = sides[0].join(sides[1], "col").filter(f"row_a != row_b AND root_a != root_b AND {100 + share} * least(n_a - place_a, n_b - place_b) >= {share} * (n_a + n_b)")
+        near = met.filter(_alike("sketch_a", "sketch_b", share)).select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
+        pairs = scratch.table(near.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
         scratch.drop(rest)
         if not pairs.isEmpty():
             tested = tested.unionByName(pairs)
             links = scratch.table(links.unionByName(_product(pairs, docs, told, n, share, scratch)))
+            roots = components(links, scratch)
+    return roots

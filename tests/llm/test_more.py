@@ -88,6 +88,22 @@ def test_long_columns_are_parted_by_second_ones(spark, monkeypatch):
     assert sorted(map(tuple, got), key=key) == brute_components(rows, 2, 60)
 
 
+def test_columns_of_the_same_rows_are_asked_once(spark, monkeypatch):
+    asked, table = [], ngram_join.Scratch.table
+
+    def noted(self, df, *more):
+        out = table(self, df, *more)
+        asked.extend([out.count()] if "asks" in df.columns else [])
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "table", noted)
+    # Ten pairs of texts that share 174 n-grams of 198 each, too little to link; each pair shares some 16 of its first columns.
+    rows = [(2 * k + i, " ".join(f"w{k}x{x}" if x < 176 else f"w{k}y{i}z{x}" for x in range(200))) for k in range(10) for i in range(2)]
+    got = ngram_classes(frame(spark, rows), 3, 80).select("doc_id", "n_grams", "component_id").collect()
+    assert sorted(map(tuple, got), key=key) == brute_components(rows, 3, 80)
+    assert sum(asked) <= 20
+
+
 def test_index_of_several_batches(spark):
     rows = [(i, f"text {i % 37}" if i % 3 else f"T own {i}") for i in range(200)]
     index = DigestIndex(spark, "min", expected=200)
