@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bits import bitmap, bits_for, passing
@@ -134,36 +134,43 @@ def _counted(late: int, last: int):
     return run
 
 
-def _often(docs: DataFrame, n: int) -> list[np.ndarray] | None:
-    """Two bits for each bucket of n-grams: whether OFTEN documents hold one, and whether COMMON do."""
+def _often(docs: DataFrame, n: int) -> tuple[list[np.ndarray] | None, bool]:
+    """Two bits for each bucket of n-grams: whether OFTEN documents hold one, and whether COMMON do; and whether one document at most holds each
+    n-gram whose first bit isn't set. Where chance puts two or more into each bucket (texts of over 1.6 GB) the bits tell the order only, and that isn't so."""
     chance = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6 // BUCKETS  # what chance puts into a bucket, with six bytes a word
+    alone = chance < 2
     held = docs.select("text").mapInArrow(_buckets(n), "page int, places binary").repartition("page").sortWithinPartitions("page")
-    pages = held.mapInArrow(_counted(OFTEN + chance, COMMON + 2 * (chance + 1 << COARSE_BITS)), "page int, late binary, last binary")
+    pages = held.mapInArrow(_counted(OFTEN if alone else OFTEN + chance, COMMON + 2 * (chance + 1 << COARSE_BITS)), "page int, late binary, last binary")
     sizes = (PAGE // 8, PAGE // 8 >> COARSE_BITS)
     out = [np.zeros((BUCKETS // PAGE) * size, np.uint8) for size in sizes]
     for r in pages.toLocalIterator():  # 4096 pages of 4.5 KB at most
         for bits, mine, size in zip(out, (r.late, r.last), sizes, strict=True):
             bits[r.page * size : (r.page + 1) * size] = np.frombuffer(bytes(mine), np.uint8)
-    return out if out[0].any() else None
+    return out if out[0].any() else None, alone
 
 
 def _prefixes(n: int, share: int, late):
-    """doc_id, text, text_hash to doc_id, text_hash, n, cls (16 bytes that tell the set), the columns that come first in the order and one more, and the sketch."""
+    """doc_id, text, text_hash to doc_id, text_hash, n, cls (16 bytes that tell the set), the columns that come first in the order and one more, with
+    their places in it, and the sketch. Columns that no other row can have are left out; they come before all others."""
 
     def run(batches):
-        late_bits = late.value
+        late_bits, alone = late.value
 
         def each(w, ids):
-            size, held = [], []
+            size, held, places = [], [], []
             sets = _grams(w, n)
             for s in sets:
                 m = len(s)
                 size.append(m)
-                held.append(_ordered(s, late_bits)[: m - -(-share * m // 100) + 2])
+                first = _ordered(s, late_bits)[: m - -(-share * m // 100) + 2]
+                skip = int(np.searchsorted(first, U(1 << 61))) if alone else 0
+                held.append(first[skip:])
+                places.append(np.arange(skip, len(first)))
             bound = np.concatenate([[0], np.cumsum([len(x) for x in held])])
             names = pa.array(map(_name, sets), pa.binary())
             cells = lists(np.concatenate([_sketch(s) for s in sets]), np.arange(len(sets) + 1) * (SKETCH // 64), pa.int64())
-            return pa.RecordBatch.from_arrays([*ids, pa.array(size, pa.int64()), names, lists(signed(np.concatenate(held)), bound, pa.int64()), cells], ["doc_id", "text_hash", "n", "cls", "first", "sketch"])
+            first = [lists(signed(np.concatenate(held)), bound, pa.int64()), lists(np.concatenate(places), bound, pa.int64())]
+            return pa.RecordBatch.from_arrays([*ids, pa.array(size, pa.int64()), names, *first, cells], ["doc_id", "text_hash", "n", "cls", "first", "places", "sketch"])
 
         yield from _texts(batches, each)
 
@@ -208,24 +215,35 @@ def _within(pairs: DataFrame, told: DataFrame, share: int) -> DataFrame:
     return both.filter(_alike("sketch_a", "sketch_b", share)).select("a", "b")
 
 
-def _distinct_columns(entries: DataFrame, scratch: Scratch) -> DataFrame:
+def _distinct_columns(entries: DataFrame, scratch: Scratch, order: str = "col") -> DataFrame:
     """Entries (col, row, place, m) of columns of m rows to those of columns that differ in their rows, with the first row and how many columns are
     the same. Of columns of the same rows the first in the order stays: in every row its place is before those of the others."""
     told = F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("y")
-    columns = entries.groupBy("col", "m").agg(F.min("row").alias("first"), *told)
-    columns = columns.groupBy("m", "first", "x", "y").agg(F.min("col").alias("col"), F.count("*").alias("same"))
+    columns = entries.groupBy("col", "m").agg(F.min("row").alias("first"), F.min(order).alias("order"), *told)
+    columns = columns.groupBy("m", "first", "x", "y").agg(F.min_by("col", "order").alias("col"), F.count("*").alias("same"))
     return scratch.table(entries.join(columns.select("col", "first", "same"), "col"))
 
 
-def _first_columns(n: str, share: int) -> Column:
-    """How many columns of a set of n are its first ones: n - least overlap + 1."""
-    return (F.col(n) - F.ceil(F.col(n) * share / 100) + 1).cast("int")
-
-
 def _near(a: str, b: str, share: int) -> str:
     return f"100 * least({a}, {b}) >= {share} * greatest({a}, {b})"
 
 
+def _reaches(n: str, place: str, least: str, share: int) -> str:
+    """Whether a row of n columns of which place ones have no partner can reach the similarity with one of least columns or more."""
+    return f"100 * {n} - {100 + share} * ({place}) >= {share} * {least}"
+
+
+def _shared(entries: DataFrame, share: int, scratch: Scratch) -> DataFrame:
+    """Entries (col, row, place, n) to col, row, place, n, m of the columns of m rows, where two rows may be near by their sizes: columns of two or three
+    rows go if no two are, which the sums tell; longer ones stay. Entries go whose place leaves too few for the column's smallest row, also if one that
+    is shared lies before."""
+    sums = F.count("*").alias("m"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), (F.sum("n") - F.min("n") - F.max("n")).alias("mid_n")
+    three = f"{_near('least_n', 'mid_n', share)} OR {_near('mid_n', 'most_n', share)}"
+    columns = entries.groupBy("col").agg(*sums).filter(f"m > 3 OR m = 3 AND ({three}) OR m = 2 AND {_near('least_n', 'most_n', share)}")
+    held = entries.join(columns.select("col", "m", "least_n"), "col").filter(_reaches("n", "place - 1", "least_n", share))
+    return scratch.table(held.select("col", "row", "place", "n", "m"))
+
+
 def _product(pairs: DataFrame, docs: DataFrame, told: DataFrame, n: int, share: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of rows whose overlap, summed over all blocks of columns, reaches the similarity. Entries are read from the texts again."""
     names = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
@@ -272,7 +290,7 @@ def ngram_classes(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
     scratch = Scratch(spark, "ngrams")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     late = spark.sparkContext.broadcast(_often(docs, n))
-    rows = docs.mapInArrow(_prefixes(n, share, late), "doc_id long, text_hash long, n long, cls binary, first array<long>, sketch array<long>")
+    rows = docs.mapInArrow(_prefixes(n, share, late), "doc_id long, text_hash long, n long, cls binary, first array<long>, places array<long>, sketch array<long>")
     rows = scratch.table(rows.withColumn("row", F.monotonically_increasing_id()))
     late.destroy()
     full = rows.filter("n > 0")
@@ -291,55 +309,69 @@ def ngram_classes(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
     return linked.unionByName(alone.select(*kept))
 
 
+def _second_columns(wide: DataFrame, every: DataFrame, share: int, scratch: Scratch) -> DataFrame:
+    """Entries (col, row, place, n, m, root) of pairs of columns: one of wide (col, row, place, n, root), the other of every; those whose rows have one
+    root go. place is how many columns lie before the later one, without the other, which is the order of the pairs, too."""
+    second = wide.join(every.select("row", F.col("col").alias("other"), F.col("place").alias("at")), "row").filter("col != other")
+    later, place = F.greatest("col", "other"), F.greatest("place", "at") - 1
+    second = second.select("row", "root", "n", F.xxhash64(F.least("col", "other"), later).alias("col"), later.alias("order"), place.alias("place")).distinct()
+    sums = F.count("*").alias("m"), F.min("n").alias("least_n"), F.min("root").alias("a"), F.max("root").alias("b")
+    columns = second.groupBy("col").agg(*sums).filter("a < b").select("col", "m", "least_n")
+    held = second.join(columns, "col").filter(_reaches("n", "place", "least_n", share)).select("col", "row", "place", "n", "m", "root", "order")
+    return _distinct_columns(scratch.table(held), scratch, "order")
+
+
 def _roots(spark: SparkSession, scratch: Scratch, docs: DataFrame, lead: DataFrame, n: int, share: int) -> DataFrame:
     """(node, root) of the rows of lead, one for each class, that link with another."""
     # The entries of the product in columns that two rows share, with their places among their row's columns.
-    entries = lead.select("row", F.posexplode(F.slice("first", F.lit(1), _first_columns("n", share))).alias("place", "col"))
-    columns = entries.groupBy("col").agg(F.count("*").alias("m")).filter("m > 1")
-    every = scratch.table(entries.join(columns, "col").select("col", "row", "place", "m"))
+    every = _shared(lead.selectExpr("row", "n", "inline(arrays_zip(first, places)) AS (col, place)"), share, scratch)
     shared = _distinct_columns(every, scratch)
-    scratch.drop(every)
     told = scratch.table(lead.select("row", "cls", "doc_id", "n", "sketch").join(shared.select("row").distinct(), "row", "left_semi"))
-    brief = told.select("row", "n", "sketch")
+    brief = told.select("row", "sketch")
     # First the partner that most columns name, one for each row.
     votes = shared.filter("row != first").groupBy("row", "first").agg(F.sum("same").alias("votes"))
     best = votes.groupBy(F.col("row").alias("a")).agg(F.max(F.struct("votes", F.col("first").alias("b"))).alias("v")).select("a", "v.b")
     tested = scratch.table(_within(best, told, share))
     links = _product(tested, docs, told, n, share, scratch)
     roots, longest = components(links, scratch), shared.agg(F.max("m")).first()[0] or 0
-    pivots, parted = 0, False
+    # Where columns are parted, sets that reach the similarity must be met at the second column that they share, too; one entry lies before it.
+    before = int(longest > LONG)
+    held, pivots, parted, moved = shared, 0, False, True
     while pivots < longest:
-        held = shared.select("col", "row", "place", "m").filter(F.col("m") > pivots).join(roots.select(F.col("node").alias("row"), "root"), "row", "left")
-        held = held.withColumn("root", F.coalesce("root", "row"))
+        if moved:
+            held = held.select("col", "row", "place", "n", "m").join(roots.select(F.col("node").alias("row"), "root"), "row", "left")
+            held = scratch.table(held.withColumn("root", F.coalesce("root", "row")))
         # Columns whose rows have different roots, and were not counted in full before. Rows of a column's main root needn't ask, only answer.
-        shares = held.groupBy("col", "root").agg(F.count("*").alias("n")).groupBy("col").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
+        held = held.filter(F.col("m") > pivots)
+        shares = held.groupBy("col", "root").agg(F.count("*").alias("k")).groupBy("col").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.count("*").alias("roots"))
         open_ = shares.filter("roots > 1").select("col", "main")
         if pivots >= LONG and not parted:
-            # Two sets that reach the similarity share two of their first columns and the next, so rows of a long column meet by both.
-            wide = held.join(open_, "col").select("row", "col")
-            second = wide.join(lead.select("row", F.explode("first").alias("other")), "row").filter("col != other")
-            second = second.select("row", F.xxhash64(F.least("col", "other"), F.greatest("col", "other")).alias("col")).distinct()
-            columns = second.groupBy("col").agg(F.count("*").alias("m")).filter("m > 1")
-            every = scratch.table(second.join(columns, "col").select("col", "row", F.lit(0).alias("place"), "m"))
-            shared, pivots, parted = _distinct_columns(every, scratch), 0, True
-            scratch.drop(every)
-            longest = shared.agg(F.max("m")).first()[0] or 0
+            # Two sets that reach the similarity share two of their first columns and the next. If one of the two has no more rows than were pivots they
+            # were compared there, so rows of a long column meet by it and another long one.
+            wide = held.join(open_, "col", "left_semi").select("col", "row", "place", "n", "root")
+            held = _second_columns(wide, every.filter(F.col("m") > pivots), share, scratch)
+            pivots, parted, moved, before = 0, True, False, 0
+            longest = held.agg(F.max("m")).first()[0] or 0
             continue
         pivots = max(1, pivots) * WIDEN
         chance = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) * F.col("m") < F.lit(pivots * (1 << 30))
         rest = held.join(open_, "col").filter((F.col("root") != F.col("main")) | chance)
-        rest = rest.select("col", "row", "place", "root", (F.col("root") != F.col("main")).alias("asks"), chance.alias("answers"))
+        rest = rest.select("col", "row", "place", "n", "root", (F.col("root") != F.col("main")).alias("asks"), chance.alias("answers"))
         rest = scratch.table(rest.join(brief, "row"))
         if rest.isEmpty():
             return roots
-        sides = [rest.filter(asked).select("col", *(F.col(c).alias(f"{c}_{x}") for c in ("row", "place", "root", "n", "sketch"))) for x, asked in (("a", "asks"), ("b", "answers"))]
-        # Before the first column that a pair shares, neither row can have so many that too few are left; this bounds the sizes, too.
-        met = sides[0].join(sides[1], "col").filter(f"row_a != row_b AND root_a != root_b AND {100 + share} * least(n_a - place_a, n_b - place_b) >= {share} * (n_a + n_b)")
+        sides = [rest.filter(asked).select("col", *(F.col(c).alias(f"{c}_{x}") for c in ("row", "place", "root", "n", "sketch", other))) for x, asked, other in (("a", "asks", "answers"), ("b", "answers", "asks"))]
+        # Before the first column that a pair shares, neither row can have so many that too few are left; this bounds the sizes, too. Rows that both ask meet once.
+        met = sides[0].join(sides[1], "col").filter("row_a != row_b AND root_a != root_b AND (row_a < row_b OR NOT (answers_a AND asks_b))")
+        met = met.filter(f"{100 + share} * ({before} + least(n_a - place_a, n_b - place_b)) >= {share} * (n_a + n_b)").filter(_near("n_a", "n_b", share))
         near = met.filter(_alike("sketch_a", "sketch_b", share)).select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
         pairs = scratch.table(near.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
         scratch.drop(rest)
+        moved = False
         if not pairs.isEmpty():
             tested = tested.unionByName(pairs)
-            links = scratch.table(links.unionByName(_product(pairs, docs, told, n, share, scratch)))
-            roots = components(links, scratch)
+            found = _product(pairs, docs, told, n, share, scratch)
+            if moved := not found.isEmpty():
+                links = scratch.table(links.unionByName(found))
+                roots, held = components(links, scratch), held.join(open_, "col", "left_semi")
     return roots

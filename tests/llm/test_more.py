@@ -104,6 +104,50 @@ def test_columns_of_the_same_rows_are_asked_once(spark, monkeypatch):
     assert sum(asked) <= 20
 
 
+@pytest.mark.parametrize("edits, most", [(2, 9000), (4, 9000), (6, 9000)])
+def test_a_large_group_is_dealt_out_in_proportion(spark, monkeypatch, edits, most):
+    held, table = [], ngram_join.Scratch.table
+
+    def noted(self, df, *more):
+        out = table(self, df, *more)
+        held.extend([out.count()] if {"col", "row", "place"} <= set(df.columns) else [])
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "table", noted)
+    monkeypatch.setattr(ngram_join, "LONG", 8)
+    monkeypatch.setattr(ngram_join, "WIDEN", 4)
+    rng = np.random.default_rng(edits)
+    # Near copies of one text with words put in, taken out and changed, about as similar as the bound.
+    rows = []
+    for k in range(80):
+        words = [f"w{x}" for x in range(90)]
+        for at in rng.integers(0, 80, edits):
+            words[at : at + int(rng.integers(0, 3))] = [f"own{rng.integers(0, 40)}"][: int(rng.integers(0, 3))]
+        rows.append((k, " ".join(words)))
+    got = ngram_classes(frame(spark, rows), 3, 80).select("doc_id", "n_grams", "component_id").collect()
+    assert sorted(map(tuple, got), key=key) == brute_components(rows, 3, 80)
+    assert sum(held) <= most
+
+
+def test_columns_without_a_near_row_are_left_out(spark, monkeypatch):
+    first, shared, table = [], [], ngram_join.Scratch.table
+
+    def noted(self, df, *more):
+        out = table(self, df, *more)
+        if "first" in df.columns and "sketch" in df.columns:
+            first.append(out.agg(F.sum(F.size("first"))).first()[0])
+        elif {"col", "row", "place"} <= set(df.columns):
+            shared.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "table", noted)
+    # Texts that share nothing: no column is dealt out. Then short texts that lie in long ones: their columns hold no two rows near by size.
+    for rows in ([(k, " ".join(f"w{k}x{x}" for x in range(100))) for k in range(20)], [(2 * k + i, " ".join(f"w{k}x{x}" for x in range(20 + 20 * i))) for k in range(20) for i in range(2)]):
+        got = ngram_classes(frame(spark, rows), 3, 80).select("doc_id", "n_grams", "component_id").collect()
+        assert sorted(map(tuple, got), key=key) == brute_components(rows, 3, 80)
+    assert first[0] == 0 and sum(shared) == 0
+
+
 def test_index_of_several_batches(spark):
     rows = [(i, f"text {i % 37}" if i % 3 else f"T own {i}") for i in range(200)]
     index = DigestIndex(spark, "min", expected=200)
