@@ -29,6 +29,8 @@ from .words import SPACED, U, Words, lists, mix, pieces, signed, text_buffer
 #: input. Buckets are counted by pages.
 BUCKET_BITS, PAGE_BITS, COARSE_BITS = 27, 15, 3
 BUCKETS, PAGE = 1 << BUCKET_BITS, 1 << PAGE_BITS
+#: Parts in which the driver reads the bits.
+READ = 8
 #: N-grams of so many documents come late in the order, and those of so many last. It changes speed, never results.
 OFTEN, COMMON = 2, 16
 #: Cells of a sketch.
@@ -134,18 +136,19 @@ def _counted(late: int, last: int):
     return run
 
 
-def _often(docs: DataFrame, n: int) -> tuple[list[np.ndarray] | None, bool]:
+def _often(docs: DataFrame, n: int, scratch: Scratch) -> tuple[list[np.ndarray] | None, bool]:
     """Two bits for each bucket of n-grams: whether OFTEN documents hold one, and whether COMMON do; and whether one document at most holds each
     n-gram whose first bit isn't set. Where chance puts two or more into each bucket (texts of over 1.6 GB) the bits tell the order only, and that isn't so."""
     chance = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6 // BUCKETS  # what chance puts into a bucket, with six bytes a word
     alone = chance < 2
     held = docs.select("text").mapInArrow(_buckets(n), "page int, places binary").repartition("page").sortWithinPartitions("page")
-    pages = held.mapInArrow(_counted(OFTEN if alone else OFTEN + chance, COMMON + 2 * (chance + 1 << COARSE_BITS)), "page int, late binary, last binary")
+    pages = scratch.table(held.mapInArrow(_counted(OFTEN if alone else OFTEN + chance, COMMON + 2 * (chance + 1 << COARSE_BITS)), "page int, late binary, last binary"))
     sizes = (PAGE // 8, PAGE // 8 >> COARSE_BITS)
     out = [np.zeros((BUCKETS // PAGE) * size, np.uint8) for size in sizes]
-    for r in pages.toLocalIterator():  # 4096 pages of 4.5 KB at most
+    for r in pages.coalesce(READ).toLocalIterator():  # 4096 pages of 4.5 KB at most; each partition is a job of its own
         for bits, mine, size in zip(out, (r.late, r.last), sizes, strict=True):
             bits[r.page * size : (r.page + 1) * size] = np.frombuffer(bytes(mine), np.uint8)
+    scratch.drop(pages)
     return out if out[0].any() else None, alone
 
 
@@ -289,10 +292,11 @@ def ngram_classes(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
     bounded_batches(spark)
     scratch = Scratch(spark, "ngrams")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    late = spark.sparkContext.broadcast(_often(docs, n))
+    late = spark.sparkContext.broadcast(_often(docs, n, scratch))
     rows = docs.mapInArrow(_prefixes(n, share, late), "doc_id long, text_hash long, n long, cls binary, first array<long>, places array<long>, sketch array<long>")
     rows = scratch.table(rows.withColumn("row", F.monotonically_increasing_id()))
     late.destroy()
+    del late  # else the driver holds the bits as long as there are rounds
     full = rows.filter("n > 0")
     classes = scratch.table(full.groupBy("cls").agg(F.min("doc_id").alias("lead"), F.min("row").alias("row"), F.count("*").alias("copies")))
     told = full.join(classes.select("row"), "row", "left_semi")

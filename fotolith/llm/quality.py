@@ -23,7 +23,7 @@ KINDS[0x30:0x3A] = 3
 ORDER = 2
 #: N-grams of up to SPAN + 1 words count by their pattern.
 SPAN = 4
-#: At most so many labelled rows are learnt from, those of least hash: the bound of what reaches the driver.
+#: At most so many labelled rows are learnt from, those of least hash: the bound of what the task that learns holds.
 TRAIN_ROWS = 6000
 DIMENSIONS = 1 << 18
 #: Scores from here on count as good.
@@ -91,6 +91,25 @@ def follow_leader(rows, dimensions: int, epochs: int = 4, alpha: float = 0.5, be
     return weights(np.arange(dimensions + 1))
 
 
+def _learnt(dimensions: int):
+    """label, features, shares, doc_id of all rows to the weights, as bytes of doubles."""
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        got = pa.Table.from_batches(held).combine_chunks()
+        del held
+        label, features, shares, doc_id = (got[c].chunk(0) for c in ("label", "features", "shares", "doc_id"))
+        # One order whatever the partitions, so that the same rows give the same weights. Arrow's buffers are used as they are.
+        order = np.argsort(doc_id.to_numpy(zero_copy_only=False), kind="stable")
+        rows = label.to_numpy(zero_copy_only=False), features.values.to_numpy(), shares.values.to_numpy(), np.asarray(features.offsets, np.int64), order
+        weights = follow_leader(rows, dimensions)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], ["weights"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, dimensions: int = DIMENSIONS, rows: int = TRAIN_ROWS) -> np.ndarray:
     """Weights learnt from the rows of docs (doc_id, text) that labels (doc_id, label) covers with 0 or 1.
 
@@ -101,14 +120,10 @@ def train(docs: DataFrame, labels: DataFrame, dimensions: int = DIMENSIONS, rows
     some = labels.filter("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # a bounded table, so it may be broadcast
     held = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
-    got = held.select("label", "text", "doc_id").mapInArrow(_rows(dimensions), "label int, features array<int>, shares array<float>, doc_id long").toArrow()
-    got = got.combine_chunks()
-    held = {c: got[c].chunk(0) if got.num_rows else pa.array([], got.schema.field(c).type) for c in got.column_names}
-    bound = np.asarray(held["features"].offsets, np.int64)
-    # One order whatever the partitions, so that the same rows give the same weights. Arrow's buffers are used as they are.
-    order = np.argsort(held["doc_id"].to_numpy(zero_copy_only=False), kind="stable")
-    flat = [held[c].values.to_numpy() for c in ("features", "shares")]
-    return follow_leader((held["label"].to_numpy(zero_copy_only=False), *flat, bound, order), dimensions)
+    rows = held.select("label", "text", "doc_id").mapInArrow(_rows(dimensions), "label int, features array<int>, shares array<float>, doc_id long")
+    # The rows meet in one task, which their bound allows; the driver gets the weights alone.
+    got = rows.repartition(1).mapInArrow(_learnt(dimensions), "weights binary").first()
+    return np.frombuffer(bytes(got.weights)) if got else np.zeros(dimensions + 1)
 
 
 def _score(weights, text_at: int, names: list[str]):

@@ -273,3 +273,44 @@ def test_tied_ids_and_copies_link_once(spark):
     rows = [(7, " ".join(base))] * 40 + [(7, " ".join(near))] * 40 + [(None, " ".join(far))] * 40 + [(9, " ".join(far[:39]))]
     got = ngram_classes(frame(spark, rows), 3, 80).select("doc_id", "n_grams", "component_id").collect()
     assert sorted(map(tuple, got), key=key) == brute_components(rows, 3, 80)
+
+
+def jobs_of(spark, run):
+    """What run() gives, the number of its jobs, and the bytes of results that its tasks sent to the driver."""
+    sc, name = spark.sparkContext, f"jobs-{id(run)}"
+    sc.setJobGroup(name, name)
+    try:
+        out = run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    jobs, store = sc.statusTracker().getJobIdsForGroup(name), sc._jsc.sc().statusStore()
+    stages = {s for j in jobs for s in sc.statusTracker().getJobInfo(j).stageIds}
+    return out, len(jobs), sum(store.lastStageAttempt(s).resultSize() for s in stages)
+
+
+def test_the_classifier_sends_no_rows_to_the_driver(spark):
+    from fotolith.llm.quality import train
+
+    rows = [(i, " ".join(f"w{(i * 31 + k * k) % 5003}" for k in range(900))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, label int")
+    weights, _, sent = jobs_of(spark, lambda: train(docs, labels, dimensions=1 << 10))
+    assert len(weights) == (1 << 10) + 1 and weights.any() and sent < 400_000
+    assert (weights == train(docs.repartition(7), labels, dimensions=1 << 10)).all()
+
+
+def test_bits_of_ngrams_reach_the_driver_in_few_jobs(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i // 2 * 31 + k) % 997}" for k in range(60))) for i in range(200)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        (bits, alone), jobs, _ = jobs_of(spark, lambda: ngram_join._often(docs, 5, ngram_join.Scratch(spark, "bits")))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    words = Words(*text_buffer(__import__("pyarrow").array([r.text for r in docs.collect()])), ngram_join.SPACED, True)
+    held = Counter(int(g) >> 64 - ngram_join.BUCKET_BITS for s in ngram_join._grams(words, 5) for g in s)
+    assert alone and jobs <= 20
+    assert set(np.flatnonzero(np.unpackbits(bits[0], bitorder="little"))) == {b for b, n in held.items() if n >= ngram_join.OFTEN}
