@@ -300,5 +300,5 @@ def sidecar_sync(s, d):
     lib = Library(s, d)
     none = F.array().cast("array<string>")
     photos = lib.photos().select("id", "rating", "flag", "label", none.alias("names")).join(lib.files().select(F.col("photo_id").alias("id"), "path"), "id")
-    ours = photos.filter("id % 2 = 0").select(sidecars.path_for(F.col("path")).alias("path"), sidecars.packet(F.lit(5), F.lit(0), F.lit(2), none).alias("text"))
-    return sidecars.sync(photos, ours, ["nef"]).select("path", "action")
+    ours = photos.filter("id % 2 = 0").select("id", sidecars.path_for(F.col("path")).alias("path"), sidecars.packet(F.lit(5), F.lit(0), F.lit(2), none).alias("text"))
+    return sidecars.sync(photos, ours, ["nef"], key="id").select("path", "action")

@@ -203,13 +203,15 @@ def beside(raws: DataFrame, sidecars: DataFrame) -> DataFrame:
     return raws.select("path", path_for(F.col("path")).alias("_at")).join(said, "_at").drop("_at")
 
 
-def sync(photos: DataFrame, sidecars: DataFrame, raw_extensions: list[str], keywords_changed: bool = False) -> DataFrame:
+def sync(photos: DataFrame, sidecars: DataFrame, raw_extensions: list[str], keywords_changed: bool = False, key: str | None = None) -> DataFrame:
     """path, action and new_text for the sidecar of each RAW file of photos (path, rating, flag, label, names), given the texts there (path, text).
 
-    RAW files themselves, and files of other formats, get nothing. Texts over MOST_BYTES are unreadable.
+    RAW files themselves, and files of other formats, get nothing. Texts over MOST_BYTES are unreadable. key: a column of both tables that tells
+    files of one path apart, where tables hold several; without it sidecars have a row for each path at most.
     """
     raws = photos.filter(F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1)).isin([e.lower() for e in raw_extensions]))
-    held = raws.select(path_for(F.col("path")).alias("path"), "rating", "flag", "label", "names").join(sidecars.select("path", "text"), "path", "left")
+    by = ["path", *([key] if key else [])]
+    held = raws.withColumn("path", path_for(F.col("path"))).select(*by, "rating", "flag", "label", "names").join(sidecars.select(*by, "text"), by, "left")
     out = updated(held, (F.size("names") > 0) | F.lit(keywords_changed))
     large = F.octet_length("text") > MOST_BYTES
     return out.select("path", F.when(large, "unreadable").otherwise(F.col("action")).alias("action"), F.when(~F.coalesce(large, F.lit(False)), F.col("new_text")).alias("new_text"))

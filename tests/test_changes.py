@@ -61,6 +61,19 @@ def test_sidecars_of_other_programs(spark):
     assert own.startswith("<?xpacket") and updated(spark, own, match=True) == ("deleted", None)
 
 
+def test_sync_of_photos_with_one_path(spark, tmp_path):
+    """Copies of the orders with keys 100,000 apart have the paths of the first ones, but sidecars of their own."""
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT t.* REPLACE (o_orderkey + 100000 * k AS o_orderkey) FROM '{SF}/orders.parquet' t, range(3) r(k)) TO '{tmp_path}/orders.parquet'")
+    for t in ("customer", "nation"):
+        c.execute(f"COPY (SELECT * FROM '{SF}/{t}.parquet') TO '{tmp_path}/{t}.parquet'")
+    for t in ("orders", "customer", "nation"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    want = c.execute(f"SELECT path, action FROM ({Q.ORACLE['sidecar_sync']})").fetchall()
+    assert len(want) > len({path for path, _ in want})
+    assert sorted(map(tuple, Q.QUERIES["sidecar_sync"](spark, str(tmp_path)).select("path", "action").collect())) == sorted(want)
+
+
 def test_keyword_links(spark):
     names = spark.createDataFrame([("Heron",)], "name string")
     links = spark.createDataFrame([(1, "Heron")], "photo_id long, name string")
