@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,24 @@ ROWS, RANGES = 10_000, 512
 KEYS = 20
 
 
+def _held(values: list, kind: str) -> Column:
+    """A literal array, made by one call whatever its length; it is folded before rows are read."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def _range_of(key: Column, bounds: list[list[str]]) -> Column:
+    """How many of the bounds, which ascend, aren't above key. By halves, with the key told once for all of them."""
+    n, held = len(bounds), _held(bounds, "array<array<string>>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(n.bit_length()))))
+
+    def step(s: Column, by: Column) -> Column:
+        to = s["at"] + by
+        below = (to <= n) & (F.get(held, to - 1) <= s["key"])
+        return F.struct(F.when(below, to).otherwise(s["at"]).alias("at"), s["key"].alias("key"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), key.alias("key")), step, lambda s: s["at"])
+
+
 def running(rows: DataFrame, name: str, key: Column, order: list[Column], value: Column) -> DataFrame:
     """rows with the running sum of value (a long) along order, whose first part is key (an array of strings).
 
@@ -24,11 +44,9 @@ def running(rows: DataFrame, name: str, key: Column, order: list[Column], value:
         step = max(1, total // (ranges * KEYS))
         some = [r[0] for r in rows.select(key.alias("k")).filter(F.pmod(F.xxhash64("k"), F.lit(step)) == 0).distinct().orderBy("k").collect()]
         bounds = [some[i * len(some) // ranges] for i in range(1, ranges)] if len(some) >= ranges else some
-    held = F.array(*[F.array(*map(F.lit, b)) for b in bounds]) if bounds else None
-    at = F.size(F.filter(held, lambda b: b <= key)) if bounds else F.lit(0)
-    rows = rows.withColumn("_range", at)
+    rows = rows.withColumn("_range", _range_of(key, bounds) if bounds else F.lit(0))
     sums = {r["_range"]: r["n"] for r in rows.groupBy("_range").agg(F.sum(value).alias("n")).collect()}
     starts = [sum(sums.get(j, 0) for j in range(i)) for i in range(len(bounds) + 1)]
     w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts]), F.col("_range") + 1)
+    before = F.get(_held(starts, "array<bigint>"), F.col("_range"))
     return rows.withColumn(name, F.sum(value).over(w) + before).drop("_range")

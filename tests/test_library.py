@@ -201,6 +201,27 @@ def test_source_ids_go_by_batches(spark):
     assert {r.id: r.s for r in got.collect()} == {r.id: r.s for r in want.collect()} | {4: None, 5: None, 6: None}
 
 
+def test_ranges_are_told_by_halves(spark, monkeypatch):
+    import bisect
+    import random
+
+    from fotolith.operators import order
+
+    rng = random.Random(5)
+    texts = ["", "a", "a\u0001", "\u00e9", '"', "\\", "\U0001f600", "\uffee", "0", "01", "Z"]
+    keys = [[rng.choice(texts) for _ in range(rng.randrange(4))] for _ in range(400)]
+    df = spark.createDataFrame([(k,) for k in keys], "k array<string>")
+    told = lambda k: [x.encode() for x in k]
+    for n in (1, 2, 3, 7, 8, 100):
+        bounds = sorted({tuple(k) for k in keys[:n]}, key=told)
+        got = df.select("k", order._range_of(F.col("k"), [list(b) for b in bounds]).alias("at")).collect()
+        assert all(r["at"] == bisect.bisect_right([told(b) for b in bounds], told(r["k"])) for r in got)
+    monkeypatch.setattr(order, "ROWS", 30)
+    plan = Q.QUERIES["natural_sort_all"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    # The key is told where its name is read, not once more for each bound.
+    assert plan.count("regexp_extract_all") == 2 and "filter(" not in plan
+
+
 def test_natural_sort_of_all_rows(spark, duck, monkeypatch):
     from fotolith.operators import order
 
