@@ -22,52 +22,68 @@ LARGEST, SIZE, OFFSET, CLIPPED, ENERGY, CORRELATION, CONTRAST, TILES, STEPS, ENO
 #: A blur of one pixel twice less one of six twice.
 REACH = 2 + 12
 PLANES = ("r", "g", "b")
+#: Tiles that blocks are read from, and what is said of a block: its half (0 or 1), its image's size, where the contrasts begin and how many they are, its own place, and the contrasts as bytes of doubles.
+TILE = 4 * SIZE
+BLOCKS = "half int, width long, height long, y0 long, x0 long, rows int, cols int, top int, left int, r binary, g binary, b binary"
+#: Open fits that are sent to all blocks; more of them are joined.
+FEW = 50_000
+#: Blocks are some 40 KB each; so much of them is written and read at once.
+GROUP = 8 << 20
 
 
 def _half(width: Column, height: Column) -> Column:
     return F.sqrt(width * width + height * height) / 2.0
 
 
-def _bands(t: Tile) -> dict[str, np.ndarray]:
-    """y, x and the contrast of each channel around each pixel of a tile, and whether any channel is clipped."""
-    y, x = t.places()
-    out = {"y": y, "x": x, "clipped": np.maximum.reduce([t.own(t.planes[c]) for c in PLANES]) >= CLIPPED}
-    for c in PLANES:
-        fine = box(np.log2(t.planes[c] + OFFSET), 1, 2)
-        out[c] = t.own(fine - box(fine, 6, 2))
+def reach_of(width: Column, height: Column) -> Column:
+    """How far around a block the scales can reach: the corner moves by both coefficients at most."""
+    return F.ceil(_half(width, height) * (2 * LARGEST)).cast("int") + 3
+
+
+def _contrast(plane: np.ndarray) -> np.ndarray:
+    """A channel's contrast around each pixel; unknown (nan) where a pixel in reach is."""
+    gone = np.isnan(plane)
+    fine = box(np.log2(np.where(gone, 0.0, plane) + OFFSET), 1, 2)
+    out = fine - box(fine, 6, 2)
+    if gone.any():
+        out[box(gone.astype(float), REACH) > 1e-9] = np.nan
+    return out
+
+
+def blocks(t: Tile) -> dict[str, list]:
+    """The rows of BLOCKS that a tile has: its usable blocks, with the red and blue contrasts that shifts can reach around them and the green ones one pixel around.
+
+    Blocks begin at multiples of SIZE. The tile says width, height and reach of its image and has the pixels in REACH + reach around its own; where lines
+    are missing at its edge, blocks that look at them are left out.
+    """
+    width, height, reach = (int(t.given[c]) for c in ("width", "height", "reach"))
+    clipped = np.maximum.reduce([t.planes[c] for c in PLANES]) >= CLIPPED
+    bands = {c: _contrast(t.planes[c]) for c in PLANES}
+    out: dict[str, list] = {n.split()[0]: [] for n in BLOCKS.split(", ")}
+    starts = []
+    for s, first, n, size in zip(t.core, (t.y0, t.x0), bands["g"].shape, (height, width), strict=True):
+        each = range(-(-(s.start + first) // SIZE) * SIZE, s.stop + first, SIZE)
+        starts.append([k for k in each if 0 < k < size - 2 * SIZE and max(0, k - reach) >= first and min(size, k + SIZE + reach) <= first + n])
+    for top in starts[0]:
+        for left in starts[1]:
+            part = lambda p, k, top=top, left=left: p[max(0, top - k) - t.y0 : top + SIZE + k - t.y0, max(0, left - k) - t.x0 : left + SIZE + k - t.x0]
+            g = part(bands["g"], 0)
+            if part(clipped, 0).any() or not (g**2).mean() >= ENERGY:
+                continue
+            around = {c: part(bands[c], reach) for c in ("r", "b")}
+            said = (top // SIZE + left // SIZE) % 2, width, height, max(0, top - reach), max(0, left - reach), *around["r"].shape, top, left
+            for n, v in zip(out, (*said, around["r"].tobytes(), part(bands["g"], 1).tobytes(), around["b"].tobytes()), strict=True):
+                out[n].append(v)
     return out
 
 
-def _patches(df: DataFrame, sized: DataFrame) -> DataFrame:
-    """A row for each usable tile: image_id, half (0 or 1), width, height, y0, x0, rows, cols and the channels' contrasts with what shifts can reach around it."""
-    bands = on_tiles(df.join(sized.select("image_id"), "image_id", "left_semi"), list(PLANES), _bands, "y int, x int, clipped boolean, r double, g double, b double", REACH)
-    # The corner moves by both coefficients at most.
-    reach = F.ceil(_half(F.col("width"), F.col("height")) * (2 * LARGEST)).cast("int") + 3
-    held = bands.join(sized, "image_id").withColumn("reach", reach)
-    near = lambda c: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - F.col("reach")) / SIZE)), F.floor((F.col(c) + F.col("reach")) / SIZE)))
-    dealt = held.withColumn("ty", near("y")).withColumn("tx", near("x"))
-    dealt = dealt.filter((F.col("ty") > 0) & (F.col("tx") > 0) & (F.col("ty") * SIZE < F.col("height") - 2 * SIZE) & (F.col("tx") * SIZE < F.col("width") - 2 * SIZE))
-    schema = "image_id long, half int, width long, height long, y0 long, x0 long, rows int, cols int, ty int, tx int, r array<double>, g array<double>, b array<double>"
-
-    def told(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        image, ty, tx = (k.as_py() for k in key)
-        y, x = (table.column(c).to_numpy().astype(np.int64) for c in "yx")
-        y0, x0 = int(y.min()), int(x.min())
-        h, w = int(y.max()) - y0 + 1, int(x.max()) - x0 + 1
-        core = (y // SIZE == ty) & (x // SIZE == tx)
-        g = table.column("g").to_numpy()
-        fine = not table.column("clipped").to_numpy(zero_copy_only=False)[core].any() and (g[core] ** 2).mean() >= ENERGY
-        planes = {}
-        for c in PLANES:
-            p = np.zeros((h, w))
-            p[y - y0, x - x0] = table.column(c).to_numpy()
-            planes[c] = [p.ravel()]
-        one = {"image_id": [image], "half": [(ty + tx) % 2], "width": [table.column("width")[0].as_py()], "height": [table.column("height")[0].as_py()], "y0": [y0], "x0": [x0], "rows": [h], "cols": [w], "ty": [ty], "tx": [tx], **planes}
-        kinds = {"half": pa.int32(), "rows": pa.int32(), "cols": pa.int32(), "ty": pa.int32(), "tx": pa.int32()} | dict.fromkeys(PLANES, pa.list_(pa.float64()))
-        out = pa.table({c: pa.array(v, kinds.get(c, pa.int64())) for c, v in one.items()})
-        return out if fine else out.slice(0, 0)
-
-    return dealt.groupBy("image_id", "ty", "tx").applyInArrow(told, schema)
+def _blocks_of(df: DataFrame, sized: DataFrame) -> DataFrame:
+    """image_id and BLOCKS of images (image_id, y, x, r, g, b)."""
+    held = df.join(sized.withColumn("reach", reach_of(F.col("width"), F.col("height"))), "image_id")
+    # Tiles are as large as what lies around them, and whole blocks.
+    reach = F.col("reach") + REACH
+    reach = F.when(reach > TILE, F.ceil(reach / SIZE) * SIZE).otherwise(reach)
+    return on_tiles(held, list(PLANES), blocks, BLOCKS, reach, TILE, given=["width", "height", "reach"])
 
 
 def _between(p: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -78,16 +94,15 @@ def _between(p: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return top + (low - top) * (y - iy)
 
 
-def _step(c: np.ndarray, g: np.ndarray, ty: int, tx: int, y0: int, x0: int, width: int, height: int, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float, float, float]:
-    """A tile's part of the normal equations (4 by 4, and 4), and the sums of its squares."""
-    y, x = (np.arange(t * SIZE - 1, (t + 1) * SIZE + 1, dtype=float) for t in (ty, tx))
+def _step(c: np.ndarray, around: np.ndarray, top: int, left: int, y0: int, x0: int, width: int, height: int, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float, float, float]:
+    """A block's part of the normal equations (4 by 4, and 4), and the sums of its squares."""
+    y, x = (np.arange(t - 1, t + SIZE + 1, dtype=float) for t in (top, left))
     y, x = np.meshgrid(y, x, indexing="ij")
     r = np.hypot(width, height) / 2
     ux, uy = (x + 0.5 - width / 2) / r, (y + 0.5 - height / 2) / r
     rho = ux * ux + uy * uy
     s = theta[0] + theta[1] * rho
     warped = _between(c, y + s * uy + theta[3] - y0, x + s * ux + theta[2] - x0)
-    around = g[ty * SIZE - 1 - y0 : (ty + 1) * SIZE + 1 - y0, tx * SIZE - 1 - x0 : (tx + 1) * SIZE + 1 - x0]
     cv, gv = warped[1:-1, 1:-1], around[1:-1, 1:-1]
     gg, cc, gc = (gv * gv).sum(), (cv * cv).sum(), (gv * cv).sum()
     k = gc / max(gg, 1e-12)  # an edge of another height mustn't read as a shifted one
@@ -101,15 +116,19 @@ def _step(c: np.ndarray, g: np.ndarray, ty: int, tx: int, y0: int, x0: int, widt
 
 
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """image_id, fit, channel, error and the normal equations of tiles that match, from tiles with the scales so far."""
+    """image_id, fit, channel, error and the normal equations of blocks that match, from blocks with their image's open fits."""
     for b in batches:
         out: dict[str, list] = {c: [] for c in ("image_id", "fit", "channel", "error", "a", "v")}
-        for row in b.to_pylist():
-            c, g = (np.array(row[n]).reshape(row["rows"], row["cols"]) for n in (row["channel"], "g"))
-            a, v, gg, cc, gc, rr = _step(c, g, row["ty"], row["tx"], row["y0"], row["x0"], row["width"], row["height"], np.array(row["theta"]))
-            if gc / max(np.sqrt(gg * cc), 1e-12) >= CORRELATION and CONTRAST[0] <= cc / max(gg, 1e-12) <= CONTRAST[1]:
-                for n, value in zip(out, (row["image_id"], row["fit"], row["channel"], float(np.sqrt(rr / max(cc, 1e-12))), a.ravel(), v), strict=True):
-                    out[n].append(value)
+        for row in (b.slice(k, 1).to_pylist()[0] for k in range(b.num_rows)):
+            g = np.frombuffer(row["g"]).reshape(SIZE + 2, SIZE + 2)
+            for f in row["fits"]:
+                if f["fit"] not in (2, row["half"]):
+                    continue
+                c = np.frombuffer(row[f["channel"]]).reshape(row["rows"], row["cols"])
+                a, v, gg, cc, gc, rr = _step(c, g, row["top"], row["left"], row["y0"], row["x0"], row["width"], row["height"], np.array(f["theta"]))
+                if gc / max(np.sqrt(gg * cc), 1e-12) >= CORRELATION and CONTRAST[0] <= cc / max(gg, 1e-12) <= CONTRAST[1]:
+                    for n, value in zip(out, (row["image_id"], f["fit"], f["channel"], float(np.sqrt(rr / max(cc, 1e-12))), a.ravel(), v), strict=True):
+                        out[n].append(value)
         kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
 
@@ -132,14 +151,16 @@ def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(theta, pa.list_(pa.float64())), pa.array(still, pa.bool_())], ["image_id", "fit", "channel", "theta", "still"])
 
 
-def _fitted(patches: DataFrame, start: DataFrame, least: int) -> DataFrame:
-    """image_id, fit, channel and theta after the steps; start has them, fit 0 and 1 for halves of the tiles and 2 for all. Fits with too few matching tiles are left out."""
+def _fitted(held: DataFrame, start: DataFrame, least: int) -> DataFrame:
+    """image_id, fit, channel and theta after the steps; start has them, fit 0 and 1 for halves of the blocks and 2 for all. Fits with too few matching blocks are left out."""
     state = written(start.withColumn("still", F.lit(True)))
     for _ in range(STEPS):
         open_ = state.filter("still").drop("still")
-        if open_.isEmpty():
+        n = open_.count()
+        if not n:
             break
-        asked = patches.join(open_, "image_id").filter("fit = 2 OR fit = half")
+        fits = open_.groupBy("image_id").agg(F.collect_list(F.struct("fit", "channel", "theta")).alias("fits"))  # four at most
+        asked = held.join(F.broadcast(fits) if n <= FEW else fits, "image_id")
         parts = written(asked.mapInArrow(_steps, "image_id long, fit int, channel string, error double, a array<double>, v array<double>"))
         key = ["image_id", "fit", "channel"]
         w = Window.partitionBy(*key)
@@ -156,17 +177,23 @@ def _fitted(patches: DataFrame, start: DataFrame, least: int) -> DataFrame:
 def measured(df: DataFrame) -> DataFrame:
     """image_id, red_a, red_b, blue_a, blue_b (scales 1 + a + b ρ² about the centre), and by channel the shift at the corner in pixels and how far two halves of the photo differ on it.
 
-    Images (image_id, y, x, r, g, b from 0 to 1) under 128 pixels either way, or with too few tiles in which the channels match, have no row.
+    Images (image_id, y, x, r, g, b from 0 to 1) under 128 pixels either way, or with too few blocks in which the channels match, have no row.
     """
     sized = frames(df).filter((F.col("width") >= 4 * SIZE) & (F.col("height") >= 4 * SIZE))
-    patches = written(_patches(df, sized))
+    return _measured(_blocks_of(df, sized))
+
+
+def _measured(rows: DataFrame) -> DataFrame:
+    """The same from image_id and BLOCKS."""
+    held = written(rows, GROUP)
     ways = F.array(*(F.struct(F.lit(k).alias("fit"), F.lit(c).alias("channel")) for k in (0, 1) for c in "rb"))
-    start = patches.select("image_id").distinct().withColumn("_w", F.explode(ways)).select("image_id", "_w.*", F.array(*(F.lit(0.0) for _ in range(4))).alias("theta"))
-    halves = _fitted(patches, start, TILES)
+    sized = held.select("image_id", "width", "height").distinct()
+    start = sized.select("image_id").withColumn("_w", F.explode(ways)).select("image_id", "_w.*", F.array(*(F.lit(0.0) for _ in range(4))).alias("theta"))
+    halves = _fitted(held, start, TILES)
     pair = halves.groupBy("image_id", "channel").agg(F.max(F.when(F.col("fit") == 0, F.col("theta"))).alias("p"), F.max(F.when(F.col("fit") == 1, F.col("theta"))).alias("q")).filter("p IS NOT NULL AND q IS NOT NULL")
     pair = written(pair)
     corner = lambda t: F.get(t, F.lit(0)) + F.get(t, F.lit(1))
-    whole = _fitted(patches, pair.select("image_id", F.lit(2).alias("fit"), "channel", F.transform(F.arrays_zip("p", "q"), lambda z: (z["p"] + z["q"]) / 2.0).alias("theta")), TILES)
+    whole = _fitted(held, pair.select("image_id", F.lit(2).alias("fit"), "channel", F.transform(F.arrays_zip("p", "q"), lambda z: (z["p"] + z["q"]) / 2.0).alias("theta")), TILES)
     each = whole.join(pair, ["image_id", "channel"]).join(sized, "image_id")
     r = _half(F.col("width"), F.col("height"))
     tidy = lambda k: F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.round(F.get("theta", F.lit(k)) / r, 6))) + 0.0
@@ -177,8 +204,17 @@ def measured(df: DataFrame) -> DataFrame:
 
 def estimated(df: DataFrame) -> DataFrame:
     """measured(), only where both halves agree well enough for the shift."""
+    return _agreeing(measured(df))
+
+
+def estimated_from(rows: DataFrame) -> DataFrame:
+    """The same from image_id and BLOCKS, for images that tasks make or read by tiles."""
+    return _agreeing(_measured(rows))
+
+
+def _agreeing(found: DataFrame) -> DataFrame:
     sure = lambda c: F.col(f"{c}_spread") <= 0.2 + F.abs(f"{c}_shift") / 3.0
-    return measured(df).filter(sure("red") & sure("blue"))
+    return found.filter(sure("red") & sure("blue"))
 
 
 def applied(df: DataFrame, sized: DataFrame, scales: DataFrame) -> DataFrame:

@@ -51,6 +51,7 @@ def on_tiles(df: DataFrame, columns: list[str], f: Callable[[Tile], dict[str, np
     whole = "image_id long, " + schema
     kinds = {n.split()[0]: n.split()[1] for n in whole.split(", ")}
     arrow = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    made = lambda c, v: pa.array(list(v), pa.binary()) if kinds[c] == "binary" else pa.array(np.asarray(v)).cast(arrow[kinds[c]])
 
     def told(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         image, size, ty, tx = (k.as_py() for k in key)
@@ -65,7 +66,7 @@ def on_tiles(df: DataFrame, columns: list[str], f: Callable[[Tile], dict[str, np
                 planes[c][y - y0, x - x0] = table.column(c).to_numpy()
             out = f(Tile(image, int(y0), int(x0), core, planes, {c: table.column(c)[0].as_py() for c in given}))
         n = len(next(iter(out.values())))
-        return pa.table({"image_id": pa.array(np.full(n, image, np.int64)), **{c: pa.array(np.asarray(v)).cast(arrow[kinds[c]]) for c, v in out.items()}})
+        return pa.table({"image_id": pa.array(np.full(n, image, np.int64)), **{c: made(c, v) for c, v in out.items()}})
 
     return dealt.groupBy("image_id", "_s", "_ty", "_tx").applyInArrow(told, whole)
 

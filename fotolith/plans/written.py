@@ -9,8 +9,11 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table that outlives executors and cuts its plan; deleted when the driver ends. Where the setting is unset, as in tests, a local folder serves a local master."""
+def written(df: DataFrame, group_bytes: int | None = None) -> DataFrame:
+    """df as a table that outlives executors and cuts its plan; deleted when the driver ends. Where the setting is unset, as in tests, a local folder serves a local master.
+
+    group_bytes: the size of row groups, where rows are large: they are held, written and read by groups.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
@@ -19,7 +22,7 @@ def written(df: DataFrame) -> DataFrame:
         base = "file://" + tempfile.mkdtemp(prefix="fotolith-")
         spark.conf.set("spark.checkpoint.dir", base)
     at = f"{base.rstrip('/')}/rounds-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.options(**({"parquet.block.size": str(group_bytes)} if group_bytes else {})).parquet(at)
 
     def clear() -> None:
         try:

@@ -139,6 +139,51 @@ def test_planted_fringes_are_found_and_undone(spark):
     assert np.array_equal(image_of(fixed, 4, 330, 360), images[4])
 
 
+def test_fringes_of_large_images_made_by_tiles(spark):
+    """The query's rows are those of its large images as pixels, which are never dealt out."""
+    import fotolith.queries as Q
+    from fotolith.adapters import Library
+    from pyspark.sql import functions as F
+
+    sf, sc = "/root/testdata/sf0.001", spark.sparkContext
+    sc.setJobGroup("fringes", "fringes")
+    got = {r.image_id: tuple(r) for r in Q.QUERIES["px_fringe_fit"](spark, sf).collect()}
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    small = Library(spark, sf).pixels()
+    store = sc._jsc.sc().statusStore()
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("fringes") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    dealt = sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+    assert dealt < 4 * small.count()  # 25 times as many are in the large images, which were dealt out again and again
+    pixels = small.filter("image_id in (1, 7)").cache()  # a whole one and one of fewer lines
+    sized = T.frames(pixels)
+    fives = F.explode(F.array(*map(F.lit, range(5))))
+    large = pixels.select("image_id", "y", "x", fives.alias("i")).select("*", fives.alias("j"))
+    large = large.select("image_id", (F.col("y") * 5 + F.col("j")).alias("y"), (F.col("x") * 5 + F.col("i")).alias("x")).join(sized, "image_id")
+    for c, by in (("r", (F.col("image_id") % 5 - 2) * 0.0015), ("g", F.lit(0.0)), ("b", (F.col("image_id") % 3 - 1) * 0.002)):
+        place = lambda a, n, by=by: (F.col(n) * 2.5 + (F.col(a) + 0.5 - F.col(n) * 2.5) * (1.0 - by)) / 5.0 - 0.5
+        large = S.gathered(large.withColumns({"sx": place("x", "width"), "sy": place("y", "height")}), pixels, sized, {"g": c}).drop("sx", "sy")
+    found = C.estimated(large.select("image_id", "y", "x", "r", "g", "b"))
+    rows = found.select("image_id", *(F.round(c, 4).alias(c) for c in ("red_a", "red_b", "blue_a", "blue_b", "red_shift", "blue_shift"))).collect()
+    assert sorted(r.image_id for r in rows) == [1, 7] and all(np.allclose(tuple(r), got[r.image_id], rtol=0, atol=1e-4) for r in rows)
+
+
+def test_blocks_beside_missing_pixels():
+    from fotolith.queries_retouch import _enlarged
+
+    g = 0.1 + 0.6 * RNG.random((64, 64))
+    tile = lambda held: T.Tile(1, 0, 0, (slice(0, 64), slice(0, 64)), {"g": np.where(held > 0, g, 0.0), "held": held}, {"width": 64.0, "height": 64.0, "reach": 6.0})
+    held = np.ones((64, 64))
+    whole = _enlarged(tile(held))
+    cut = T.Tile(1, 9, 0, (slice(0, 55), slice(0, 64)), {"g": g[9:], "held": held[9:]}, {"width": 64.0, "height": 64.0, "reach": 6.0})  # begins late
+    assert sorted(set(_enlarged(cut)["top"])) == [64, 96, 128, 160, 192, 224]
+    held[30] = 0.0  # lines 150 to 154 of the large image, and those that sample them
+    part = _enlarged(tile(held))
+    assert len(whole["top"]) == 49 and sorted(set(part["top"])) == [32, 64, 96, 192, 224]
+    at = {(a, b): (r, g) for a, b, r, g in zip(whole["top"], whole["left"], whole["r"], whole["g"])}
+    far = [(a, b, r, g) for a, b, r, g in zip(part["top"], part["left"], part["r"], part["g"]) if a in (32, 64, 224)]
+    assert far and all(np.allclose(np.frombuffer(r), np.frombuffer(at[a, b][0]), atol=1e-9) and np.allclose(np.frombuffer(g), np.frombuffer(at[a, b][1]), atol=1e-9) for a, b, r, g in far)
+
+
 # Retouching.
 
 
